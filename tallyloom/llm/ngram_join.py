@@ -10,11 +10,13 @@ eighth of the documents. Rare first is an order by sampled frequency and hash: a
 order gives the same pairs, a good one gives short lists.
 
 Sets that are equal are one vertex. In a list of many sets the pairs are not all formed:
-each round compares every set with one pivot. Sets linked with the pivot are connected,
-and, Jaccard distance being a metric, such a set needs comparing with another only if
-that one may be near enough, judged from both distances to the pivot. What can still
-hold an unseen connection goes to the next round, its lists divided by size classes of
-which only neighbours can link, until nothing is left.
+each round compares the sets with one pivot, the set with the fewest rarer elements,
+which in a family of copies is the original. Where a set stands in a list bounds what it
+can still share, so only sets that could link there are compared. Sets linked with the
+pivot are connected, and, Jaccard distance being a metric, such a set needs comparing
+with another only if that one may be near enough, judged from both distances to the
+pivot. What can still hold an unseen connection goes to the next round, its lists divided
+by the size class of the larger set of a pair, until nothing is left.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from .common import blocks, connected_components, materialise, mix64, shingle_ha
 SAMPLE = 8
 #: Shingles seen so often in the sample are ordered by frequency; of the most frequent so many, at most.
 OFTEN, RANKED = 2, 1 << 19
-#: Lists of up to so many undecided sets compare all pairs; longer ones go by pivots.
-SHORT_LIST = 64
+#: Lists of up to so many undecided sets are joined with themselves, under conditions that let through what could
+#: link two components; longer ones go by pivots.
+SHORT_LIST = 4096
+#: Size classes in the range of sizes that can link.
+STEPS = 4
 #: Documents whose sets are needed, up to which their ids are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 _LIGHT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93))
@@ -84,20 +89,23 @@ class Order:
         return own[np.argsort(frequency, kind="stable")]
 
 
-def signatures(own: np.ndarray, order: Order, light_up_to: int, num: int, den: int) -> np.ndarray:
+def signatures(own: np.ndarray, order: Order, light_up_to: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists that a set stands in, and for each how many elements at most it cannot share with a set that it first meets there."""
     n = len(own)
     if n < 2:
-        return own[:0]  # one element: links with its equals only
+        return own[:0], np.zeros(0, dtype=np.int32)  # one element: links with its equals only
     prefix = n - least_overlap(n, num, den) + 1
     first = order.rare_first(own)[: prefix + 1]
-    out = []
+    out, lost = [], []
     if n <= light_up_to:
         i, j = np.triu_indices(len(first), 1)
         a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
         out.append(mix64(a * _LIGHT[0] + b * _LIGHT[1]))
+        lost.append(j - 1)
     if n > light_up_to or n * den >= num * light_up_to:
         out.append(first[:prefix])
-    return np.concatenate(out)
+        lost.append(np.arange(prefix))
+    return np.concatenate(out), np.concatenate(lost).astype(np.int32)
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -151,13 +159,15 @@ class Join:
             order = Order(*shared.value)
             for part in blocks(batches):
                 own = list(sets(part.column(1), k))
+                sigs, lost = zip(*(signatures(s, order, light_up_to, num, den) for s in own))
                 digest = np.array([[len(s), mix64(s).sum(), mix64(s * _LIGHT[0]).sum()] for s in own], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(digest[:, i].copy()) for i in range(3)),
-                     _lists([parity(s) for s in own]), _lists([signatures(s, order, light_up_to, num, den) for s in own])],
-                    ["x", "n", "d1", "d2", "bits", "sigs"])
+                     _lists([parity(s) for s in own]), _lists(sigs),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lost])]).astype(np.int32)), pa.array(np.concatenate(lost)))],
+                    ["x", "n", "d1", "d2", "bits", "sigs", "lost"])
 
-        self.described = materialise(docs.mapInArrow(describe, f"x {kind}, n long, d1 long, d2 long, bits array<long>, sigs array<long>"), "sets-described")
+        self.described = materialise(docs.mapInArrow(describe, f"x {kind}, n long, d1 long, d2 long, bits array<long>, sigs array<long>, lost array<int>"), "sets-described")
         self._one_row_an_id()
         some = self.described.where("n > 0 and x is not null")
         classes = materialise(some.groupBy("n", "d1", "d2").agg(F.min("x").alias("rep")), "set-classes")
@@ -170,17 +180,21 @@ class Join:
         """Rows that repeat an id join as the one with the largest set; all of them get its result."""
         self.repeated = bool(self.described.groupBy("x").count().where("count > 1 and x is not null").limit(1).count())
         if self.repeated:
-            named = self.described.where("x is not null").groupBy("x").agg(F.max(F.struct("n", "d1", "d2", "bits", "sigs")).alias("s")).select("x", "s.*")
+            named = self.described.where("x is not null").groupBy("x").agg(F.max(F.struct("n", "d1", "d2", "bits", "sigs", "lost")).alias("s")).select("x", "s.*")
             self.described = materialise(named.unionByName(self.described.where("x is null")), "sets-described")
 
+    def bound(self):
+        """What sets with columns n, bits and m, bits_p can share at most, and whether that is enough to link."""
+        differ = F.aggregate(F.zip_with("bits", "bits_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+        most = F.least("n", "m", F.floor((F.col("n") + F.col("m") - differ) / 2))
+        return most, self.den * most >= self.num * (F.col("n") + F.col("m") - most)
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Rows (p, x, linked, away) of the pairs: ``away`` is the distance, or a bound below it where sizes and bits already exclude a link."""
         num, den = self.num, self.den
         slim = self.vertices.select("x", "n", "bits")
         both = pairs.join(slim, "x").join(slim.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("bits").alias("bits_p")), "p")
-        differ = F.aggregate(F.zip_with("bits", "bits_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-        most = F.least("n", "m", F.floor((F.col("n") + F.col("m") - differ) / 2))
-        bounded = materialise(both.select("p", "x", "n", "m", most.alias("most")), "pairs-bounded")
+        bounded = materialise(both.select("p", "x", "n", "m", self.bound()[0].alias("most")), "pairs-bounded")
         reaches = den * F.col("most") >= num * (F.col("n") + F.col("m") - F.col("most"))
         near = bounded.where(reaches).select("p", "x", "n", "m")
         ids = materialise(near.select("x").union(near.select("p")).distinct(), "pair-ids")
@@ -204,46 +218,84 @@ class Join:
         apart = bounded.where(~reaches).select("p", "x", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("away"))
         return materialise(judged.unionByName(apart), "pairs-compared")
 
+    def needed(self, n, m):
+        """Elements that sets of these sizes must share to link."""
+        return F.floor((self.num * (n + m) + (self.num + self.den - 1)) / (self.num + self.den))
+
+    def possible(self, n, lost, m, lost_m):
+        """Whether two sets can share enough if they first meet here."""
+        return (n - lost >= self.needed(n, m)) & (m - lost_m >= self.needed(n, m))
+
+    def by_size(self, rows: DataFrame) -> DataFrame:
+        """Rows (g, x, n, lost, l) once for each size class in which a larger partner may be, as the smaller set
+        of a pair, and once in their own class as the larger one; rows that no partner's size can make possible go."""
+        width = float(np.log(self.den / self.num) / STEPS * (1 + 1e-6))
+        own = F.floor(F.log("n") / width)
+        steps = F.sequence(F.lit(0), F.lit(STEPS))
+        each = rows.withColumn("own", own).select("*", F.explode(steps).alias("step"))
+        larger = F.greatest(F.col("n"), F.floor(F.exp((F.col("own") + F.col("step")) * width) * (1 - 1e-9)))
+        each = each.withColumns({
+            "small": F.col("n") - F.col("lost") >= self.needed(F.col("n"), larger),
+            "large": F.col("step") == 0,
+            # sizes of smaller partners with which the set can still share enough
+            "partner": F.floor((F.col("n") - F.col("lost")) * (self.num + self.den) / self.num) - F.col("n"),
+        }).where("small or large")
+        each = materialise(each.select(F.xxhash64("g", F.col("own") + F.col("step")).alias("g"), "x", "n", "lost", "l", "small", "large", "partner"), "open-classes")
+        least = each.where("small").groupBy("g").agg(F.min("n").alias("least"))
+        least = materialise(least, "least-sizes")
+        kept = each.join(least, "g").where("small or partner >= least").select("g", "x", "n", "lost", "l", "small", "large")
+        return materialise(kept, "open-sets")
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Links (u, v) that connect whatever is connected, and labels (x, l) of the linked vertices."""
         reach = 1 - self.num / self.den
-        active = self.vertices.select(F.explode("sigs").alias("g"), "x", "n")
-        compared, links, labels = None, None, None
-        first = True
+        compared, pairs = None, None
+        stars = self.vertices.select("x", "n", F.explode(F.arrays_zip("sigs", "lost")).alias("s")).select(F.col("s.sigs").alias("g"), "x", "n", F.col("s.lost").alias("lost"))
         while True:
-            if first:
-                stars = active
-            else:
-                short = active.where(F.col("size") <= SHORT_LIST)
-                a, b = short.select("g", F.col("x").alias("p"), F.col("l").alias("lp")), short.select("g", "x", "l")
-                pairs = a.join(b, "g").where("p < x and lp <> l").select("p", "x").distinct()
-                stars = active.where(F.col("size") > SHORT_LIST).select("g", "x", "n")
-            pivots = materialise(stars.groupBy("g").agg(F.min("x").alias("p"), F.max("x").alias("q")).where("p < q").select("g", "p"), "pivots")
-            lists = materialise(stars.join(pivots, "g").where("x <> p").select("g", "x", "n", "p"), "lists")
-            asked = lists.select("p", "x").distinct()
-            if not first:
-                asked = asked.unionByName(pairs).distinct().join(compared, ["p", "x"], "left_anti")
+            pivots = stars.groupBy("g").agg(F.min(F.struct("lost", "x", "n")).alias("p"), F.min("x").alias("a"), F.max("x").alias("b"))
+            pivots = pivots.where("a < b").select("g", F.col("p.x").alias("p"), F.col("p.n").alias("m"), F.col("p.lost").alias("lost_p"))
+            pivots = materialise(pivots, "pivots")
+            meets = self.possible(F.col("n"), F.col("lost"), F.col("m"), F.col("lost_p"))
+            lists = materialise(stars.join(pivots, "g").where("x <> p").withColumn("meets", meets), "lists")
+            asked = lists.where("meets").select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
+            if pairs is not None:
+                asked = asked.unionByName(pairs)
+            asked = asked.distinct()
+            if compared is not None:
+                asked = asked.join(compared, ["p", "x"], "left_anti")
             found = self.compare(asked)
-            compared = found if first else materialise(compared.unionByName(found), "compared")
+            compared = found if compared is None else materialise(compared.unionByName(found), "compared")
             links = compared.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
             labels = connected_components(links, "ngram-cc")
-            first = False
-            # what is undecided in lists that still hold sets of two components
-            known = lists.join(compared, ["p", "x"]).select("g", "x", "n", "linked", "away").join(labels, "x", "left").withColumn("l", F.coalesce("l", "x"))
+            # lists that still hold sets of two components, one of them not linked with the pivot
+            judged = compared.select(F.col("p").alias("low"), F.col("x").alias("high"), "linked", "away")
+            apart = 1 - F.least("n", "m") / F.greatest("n", "m")
+            known = (
+                lists.withColumns({"low": F.least("p", "x"), "high": F.greatest("p", "x")}).join(judged, ["low", "high"], "left")
+                .select("g", "x", "n", "lost", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("away", apart).alias("away"))
+                .join(labels, "x", "left").withColumn("l", F.coalesce("l", "x"))
+            )
             state = materialise(known, "list-state")
-            nearest = materialise(state.groupBy("g").agg(
+            open_lists = materialise(state.groupBy("g").agg(
                 F.min(F.when(~F.col("linked"), F.col("away"))).alias("nearest"), F.min("l").alias("a"), F.max("l").alias("b"),
             ).where("nearest is not null and a <> b").select("g", "nearest"), "open-lists")
             # a slack of 1e-9 covers rounding in the differences of distances
-            rest = state.join(nearest, "g").where(~F.col("linked") | (F.col("away") >= F.col("nearest") - reach - 1e-9)).select("g", "x", "n", "l")
-            # sets that link are of one size class or of neighbouring ones: each list goes on by class
-            size_class = F.floor(F.log("n") / float(np.log(self.den / self.num) * (1 + 1e-6)))
-            rest = rest.select(F.explode(F.array(size_class, size_class + 1)).alias("c"), "g", "x", "n", "l").select(F.xxhash64("g", "c").alias("g"), "x", "n", "l")
-            rest = materialise(rest, "open-sets")
-            sizes = materialise(rest.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("g", "size"), "open-sizes")
+            rest = state.join(open_lists, "g").where(~F.col("linked") | (F.col("away") >= F.col("nearest") - reach - 1e-9)).select("g", "x", "n", "lost", "l")
+            rest = self.by_size(rest)
+            sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("l").alias("a"), F.max("l").alias("b"), F.max("small").alias("s"), F.max("large").alias("t"))
+            sizes = materialise(sizes.where("a <> b and s and t").select("g", "size"), "open-sizes")
             active = materialise(rest.join(sizes, "g"), "active")
             if not active.limit(1).count():
                 return links, labels
+            short = active.where(F.col("size") <= SHORT_LIST).join(self.vertices.select("x", "bits"), "x")
+            short = materialise(short, "short-lists")
+            one = short.where("small").select("g", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lost").alias("lost_y"), F.col("l").alias("ly"), F.col("bits").alias("bits_p"))
+            two = short.where("large").select(F.col("g").alias("h"), "x", "n", "lost", "l", "bits")
+            _, reaches = self.bound()
+            meets = self.possible(F.col("n"), F.col("lost"), F.col("m"), F.col("lost_y"))
+            both = one.join(two, (F.col("g") == F.col("h")) & (F.col("l") != F.col("ly")) & (F.col("n") >= F.col("m")) & meets & reaches)
+            pairs = both.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
+            stars = active.where(F.col("size") > SHORT_LIST).select("g", "x", "n", "lost")
 
 
 def ngram_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
