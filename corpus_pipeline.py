@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import held_out, materialise  # noqa: F401
+from tallyloom.llm.common import materialise, small_side
 from tallyloom.llm.decontaminate import without_leaks
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.ngram_join import ngram_join
@@ -32,13 +32,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(small_side(dropped, "dropped"), "doc_id", "left_anti")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
     dropped = ngram_join(docs, k=5, num=80, den=100).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(small_side(dropped, "dropped"), "doc_id", "left_anti")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a side of a join is broadcast, about 64 MB in memory.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(ids: DataFrame, label: str) -> DataFrame:
+    """``ids`` written, counted, and marked for broadcast if the count allows it; else it is joined by shuffling."""
+    ids = materialise(ids, label)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def held_out(id_col: str = "doc_id"):
     """True for rows that no model may learn from: crc32 of the id as text, mod 4, is 2."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))

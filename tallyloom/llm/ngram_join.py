@@ -5,8 +5,8 @@ elements of each (its prefix), and at least two when the prefixes are one longer
 (light) sets enumerate all two-element subsets of that longer prefix and meet on equal
 subsets; large (heavy) sets, and the light ones that could reach a heavy one, meet on
 inverted lists of their prefix elements. The size that divides them is the one at which
-subsets and expected list scans together cost least, on sizes and frequencies seen in an
-eighth of the documents. Rare first is an order by sampled frequency and hash: any
+subsets and expected list scans together cost least, on sizes and frequencies seen in a
+sixteenth of the documents. Rare first is an order by sampled frequency and hash: any
 order gives the same pairs, a good one gives short lists.
 
 Sets that are equal are one vertex. In a list of many sets the pairs are not all formed:
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, materialise, mix64, shingle_hashes, text_bytes, word_hashes
+from .common import blocks, connected_components, materialise, mix64, shingle_hashes, small_side, text_bytes, word_hashes
 
 #: One document in so many is counted for the order and the boundary.
-SAMPLE = 8
+SAMPLE = 16
 #: Shingles seen so often in the sample are ordered by frequency; of the most frequent so many, at most.
 OFTEN, RANKED = 2, 1 << 19
 #: Lists of up to so many undecided sets are joined with themselves, under conditions that let through what could
@@ -37,8 +37,6 @@ OFTEN, RANKED = 2, 1 << 19
 SHORT_LIST = 4096
 #: Size classes in the range of sizes that can link.
 STEPS = 4
-#: Documents whose sets are needed, up to which their ids are broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
 _LIGHT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -173,7 +171,7 @@ class Join:
         classes = materialise(some.groupBy("n", "d1", "d2").agg(F.min("x").alias("rep")), "set-classes")
         # equal sets are one vertex, named by their smallest id
         self.members = materialise(some.select("x", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("x", "n", "rep"), "set-members")
-        copies = self.members.where("x <> rep").select("x")
+        copies = small_side(self.members.where("x <> rep").select("x"), "set-copies")
         self.vertices = some.join(copies, "x", "left_anti")
 
     def _one_row_an_id(self) -> None:
@@ -197,8 +195,7 @@ class Join:
         bounded = materialise(both.select("p", "x", "n", "m", self.bound()[0].alias("most")), "pairs-bounded")
         reaches = den * F.col("most") >= num * (F.col("n") + F.col("m") - F.col("most"))
         near = bounded.where(reaches).select("p", "x", "n", "m")
-        ids = materialise(near.select("x").union(near.select("p")).distinct(), "pair-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        wanted = small_side(near.select("x").union(near.select("p")).distinct(), "pair-ids")
         k = self.k
 
         def read(batches):
@@ -251,6 +248,9 @@ class Join:
         reach = 1 - self.num / self.den
         compared, pairs = None, None
         stars = self.vertices.select("x", "n", F.explode(F.arrays_zip("sigs", "lost")).alias("s")).select(F.col("s.sigs").alias("g"), "x", "n", F.col("s.lost").alias("lost"))
+        # most lists hold one set: the others are found on slim rows, before anything else is carried along
+        several = small_side(stars.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("g"), "lists-of-several")
+        stars = materialise(stars.join(several, "g", "left_semi"), "stars")
         while True:
             pivots = stars.groupBy("g").agg(F.min(F.struct("lost", "x", "n")).alias("p"), F.min("x").alias("a"), F.max("x").alias("b"))
             pivots = pivots.where("a < b").select("g", F.col("p.x").alias("p"), F.col("p.n").alias("m"), F.col("p.lost").alias("lost_p"))

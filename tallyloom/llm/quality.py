@@ -104,6 +104,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     share = F.when(F.col("quality") == 0, min(1.0, train_rows / per[0])).otherwise(min(1.0, train_rows / per[1]))
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
 
+    # chosen holds 2 * train_rows ids and labels, about, whatever the input
+
     def describe(batches):
         for part in blocks(batches):
             ids, rows = features(*text_bytes(part.column(1)))
@@ -113,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([part.column(0), lists(keys % BUCKETS), lists(counts), part.column(2)], ["doc_id", "ids", "counts", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(describe, f"doc_id {kind}, ids array<int>, counts array<int>, quality int").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(describe, f"doc_id {kind}, ids array<int>, counts array<int>, quality int").toArrow()
     examples = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality"))), key=str)
     order = {k: i for i, k in enumerate(zip(found.column("doc_id").to_pylist(), found.column("quality").to_pylist()))}
     ids, counts = found.column("ids").combine_chunks(), found.column("counts").combine_chunks()
