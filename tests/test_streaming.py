@@ -1,0 +1,13 @@
+from tallyloom.streaming import ingest
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    src = spark.sql("select cast(id % 3 as string) model, id in_tok, 1L cr_tok, id % 2 session_id, timestamp'2026-01-01' + make_interval(0,0,0,0,0,0,id) ts from range(40)")
+    src.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.write_facts(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    facts = spark.read.parquet(str(tmp_path / "out"))
+    assert facts.count() == 40 and facts.selectExpr("sum(in_tok)").first()[0] == 780
+    rate = ingest.token_rate(src, "10 seconds", "10 seconds").selectExpr("sum(tokens)").first()[0]
+    assert rate == 820
+    assert ingest.spawn_windows(src, "5 seconds").count() == 2
