@@ -18,7 +18,9 @@ from .common import blocks, held_out, mix64, text_bytes, word_hashes, _SPACE
 
 #: Labelled rows a class that the model is fitted on, about (hash-sampled when there are more).
 TRAIN_ROWS = 1500
-BUCKETS, WIDTH, EPOCHS, RATE = 1 << 17, 8, 6, 0.15
+BUCKETS, WIDTH, RATE = 1 << 17, 8, 0.15
+#: Steps of gradient descent, about: few examples are seen more often, at most MOST_EPOCHS times.
+STEPS, MOST_EPOCHS = 18_000, 40
 THRESHOLD = 0.7
 
 
@@ -66,8 +68,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], priors: tuple[float,
     seen = np.full(BUCKETS, 1e-6)
     seen_out = 1e-6
     share = np.bincount([y for *_, y in examples], minlength=2) / max(len(examples), 1)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = min(MOST_EPOCHS, max(1, round(STEPS / max(len(examples), 1))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(len(examples)):
             ids, counts, y = examples[i]
             if not len(ids):
