@@ -47,8 +47,8 @@ def masks_for(lengths) -> list[list[int]]:
 
 
 def seeds(words: np.ndarray, mask: list[int]) -> np.ndarray:
-    n = len(words) - mask[-1]
-    out = np.full(max(n, 0), np.uint64(hash(tuple(mask)) & 0x7FFFFFFF))
+    n = max(len(words) - mask[-1], 0)  # texts shorter than the window have no seed
+    out = np.full(n, np.uint64(hash(tuple(mask)) & 0x7FFFFFFF))
     for w, j in zip(shingle_weights(len(mask)), mask):
         out += words[j : n + j] * w
     return mix64(out)
