@@ -111,6 +111,11 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((own & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
 
 
+def digests(rows: list[np.ndarray]) -> np.ndarray:
+    """Size and two 64-bit sums of each set, by which equal sets are known."""
+    return np.array([[len(s), mix64(s).sum(), mix64(s * _LIGHT[0]).sum()] for s in rows], dtype=np.uint64).view(np.int64)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     cut = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, dtype=np.int64)
@@ -134,10 +139,14 @@ def _sampled(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own]), pa.array(b[own])], ["kind", "key", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("x"), F.lit(SAMPLE)) == 0)
-    counted = materialise(some.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "shingle-sample")
-    often = counted.where(f"kind = 0 and n >= {OFTEN}").orderBy(F.desc("n"), "key").limit(RANKED).select("key", "n").toArrow()
+    counted = some.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # shingles seen less often matter to the mean alone: one row a count stands for them
+    rare = (F.col("kind") == 0) & (F.col("n") < OFTEN)
+    counted = counted.groupBy(F.when(rare, 2).otherwise(F.col("kind")).alias("kind"), F.when(rare, F.col("n")).otherwise(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "shingle-sample")
+    often = counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(RANKED).select("key", "n").toArrow()
     sizes = {r["key"]: r["n"] for r in counted.where("kind = 1 and key > 0").collect()}  # one row a size
-    rest = counted.where(f"kind = 0 and n < {OFTEN}").agg(F.sum(F.expr("n * (n - 1)")), F.sum("n")).first()
+    rest = counted.where("kind = 2").agg(F.sum(F.expr("n * (key - 1)")), F.sum("n")).first()
     return (often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy(), sizes, SAMPLE * (rest[0] or 0) / (rest[1] or 1))
 
 
@@ -158,7 +167,7 @@ class Join:
             for part in blocks(batches):
                 own = list(sets(part.column(1), k))
                 sigs, lost = zip(*(signatures(s, order, light_up_to, num, den) for s in own))
-                digest = np.array([[len(s), mix64(s).sum(), mix64(s * _LIGHT[0]).sum()] for s in own], dtype=np.uint64).view(np.int64)
+                digest = digests(own)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(digest[:, i].copy()) for i in range(3)),
                      _lists([parity(s) for s in own]), _lists(sigs),
@@ -187,30 +196,38 @@ class Join:
         most = F.least("n", "m", F.floor((F.col("n") + F.col("m") - differ) / 2))
         return most, self.den * most >= self.num * (F.col("n") + F.col("m") - most)
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """Rows (p, x, linked, away) of the pairs: ``away`` is the distance, or a bound below it where sizes and bits already exclude a link."""
-        num, den = self.num, self.den
-        slim = self.vertices.select("x", "n", "bits")
-        both = pairs.join(slim, "x").join(slim.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("bits").alias("bits_p")), "p")
-        bounded = materialise(both.select("p", "x", "n", "m", self.bound()[0].alias("most")), "pairs-bounded")
-        reaches = den * F.col("most") >= num * (F.col("n") + F.col("m") - F.col("most"))
-        near = bounded.where(reaches).select("p", "x", "n", "m")
-        wanted = small_side(near.select("x").union(near.select("p")).distinct(), "pair-ids")
-        k = self.k
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted``, which has a column x, with the set ``own`` of each."""
+        k, more = self.k, [c for c in wanted.columns if c != "x"]
 
         def read(batches):
             for part in blocks(batches):
                 own = list(sets(part.column(1), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(own)], ["x", "own"])
+                digest = digests(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(part.column(2 + i) for i in range(len(more))), *(pa.array(digest[:, i].copy()) for i in range(3)), _lists(own)],
+                    ["x", *more, "n", "d1", "d2", "own"])
 
         kind = self.docs.schema["x"].dataType.simpleString()
-        whole = self.docs.join(wanted, "x", "left_semi").mapInArrow(read, f"x {kind}, own array<long>")
+        rows = self.docs.join(wanted, "x").select("x", "text", *more)
+        made = rows.mapInArrow(read, ", ".join(f"{c} {kind}" for c in ("x", *more)) + ", n long, d1 long, d2 long, own array<long>")
         if self.repeated:
-            whole = whole.groupBy("x").agg(F.max_by("own", F.size("own")).alias("own"))
-        whole = materialise(whole, "pair-sets")
-        met = near.join(whole, "x").join(whole.select(F.col("x").alias("p"), F.col("own").alias("own_p")), "p")
+            made = made.groupBy("x", *more).agg(F.max_by("own", F.struct("n", "d1", "d2")).alias("own"))
+        return made.select("x", *more, "own")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Rows (p, x, linked, away) of the pairs: ``away`` is the distance, or a bound below it where sizes and bits already exclude a link."""
+        num, den = self.num, self.den
+        slim = self.vertices.select("x", "n", "bits")
+        both = pairs.join(slim, "x").join(slim.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("bits").alias("bits_p")), "p")
+        bounded = materialise(both.select("p", "x", "n", "m", self.bound()[0].alias("most")), "pairs-bounded")
+        reaches = den * F.col("most") >= num * (F.col("n") + F.col("m") - F.col("most"))
+        near = bounded.where(reaches).select("p", "x")
+        # sets are made from the texts where they are needed: written down they would take more room than the texts
+        own = self.sets_of(small_side(near, "pairs-near"))
+        met = own.join(self.sets_of(small_side(near.select(F.col("p").alias("x")).distinct(), "pair-pivots")).withColumnsRenamed({"x": "p", "own": "own_p"}), "p")
         shared = F.size(F.array_intersect("own", "own_p"))
-        exact = met.select("p", "x", shared.alias("both"), (F.col("n") + F.col("m") - shared).alias("either"))
+        exact = met.select("p", "x", shared.alias("both"), (F.size("own") + F.size("own_p") - shared).alias("either"))
         judged = exact.select("p", "x", (den * F.col("both") >= num * F.col("either")).alias("linked"), (1 - F.col("both") / F.col("either")).alias("away"))
         apart = bounded.where(~reaches).select("p", "x", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("away"))
         return materialise(judged.unionByName(apart), "pairs-compared")
@@ -249,7 +266,7 @@ class Join:
         compared, pairs = None, None
         stars = self.vertices.select("x", "n", F.explode(F.arrays_zip("sigs", "lost")).alias("s")).select(F.col("s.sigs").alias("g"), "x", "n", F.col("s.lost").alias("lost"))
         # most lists hold one set: the others are found on slim rows, before anything else is carried along
-        several = small_side(stars.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("g"), "lists-of-several")
+        several = small_side(stars.groupBy("g").count().where("count > 1").select("g"), "lists-of-several")
         stars = materialise(stars.join(several, "g", "left_semi"), "stars")
         while True:
             pivots = stars.groupBy("g").agg(F.min(F.struct("lost", "x", "n")).alias("p"), F.min("x").alias("a"), F.max("x").alias("b"))
