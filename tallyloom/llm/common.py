@@ -28,12 +28,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to remove a query's shuffle files when the query ends.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files behind it go once it is written: nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables; whatever was derived from them must be written by then."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of ids up to which a side of a join is broadcast, about 64 MB in memory.
@@ -43,7 +67,9 @@ BROADCAST_ROWS = 2_000_000
 def small_side(ids: DataFrame, label: str) -> DataFrame:
     """``ids`` written, counted, and marked for broadcast if the count allows it; else it is joined by shuffling."""
     ids = materialise(ids, label)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    side.scratch = ids.scratch
+    return side
 
 
 def held_out(id_col: str = "doc_id"):
@@ -155,7 +181,9 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         )
         far = step.select(F.col("x").alias("l"), F.col("l").alias("ll"))
         done = materialise(step.join(far, "l").select("x", F.least("l", "ll").alias("l"), "old"), label)
-        changed = done.where("l <> old").limit(1).count()
+        discard(step, labels)
         labels = done.select("x", "l")
-        if not changed:
+        labels.scratch = done.scratch
+        if not done.where("l <> old").limit(1).count():
+            discard(both)
             return labels

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, materialise, mix64, shingle_hashes, small_side, text_bytes, word_hashes
+from .common import blocks, connected_components, discard, materialise, mix64, shingle_hashes, small_side, text_bytes, word_hashes
 
 #: One document in so many is counted for the order and the boundary.
 SAMPLE = 16
@@ -147,6 +147,7 @@ def _sampled(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int,
     often = counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(RANKED).select("key", "n").toArrow()
     sizes = {r["key"]: r["n"] for r in counted.where("kind = 1 and key > 0").collect()}  # one row a size
     rest = counted.where("kind = 2").agg(F.sum(F.expr("n * (key - 1)")), F.sum("n")).first()
+    discard(counted)
     return (often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy(), sizes, SAMPLE * (rest[0] or 0) / (rest[1] or 1))
 
 
@@ -180,6 +181,7 @@ class Join:
         classes = materialise(some.groupBy("n", "d1", "d2").agg(F.min("x").alias("rep")), "set-classes")
         # equal sets are one vertex, named by their smallest id
         self.members = materialise(some.select("x", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("x", "n", "rep"), "set-members")
+        discard(classes)
         copies = small_side(self.members.where("x <> rep").select("x"), "set-copies")
         self.vertices = some.join(copies, "x", "left_anti")
 
@@ -188,7 +190,9 @@ class Join:
         self.repeated = bool(self.described.groupBy("x").count().where("count > 1 and x is not null").limit(1).count())
         if self.repeated:
             named = self.described.where("x is not null").groupBy("x").agg(F.max(F.struct("n", "d1", "d2", "bits", "sigs", "lost")).alias("s")).select("x", "s.*")
-            self.described = materialise(named.unionByName(self.described.where("x is null")), "sets-described")
+            every = self.described
+            self.described = materialise(named.unionByName(every.where("x is null")), "sets-described")
+            discard(every)
 
     def bound(self):
         """What sets with columns n, bits and m, bits_p can share at most, and whether that is enough to link."""
@@ -222,7 +226,9 @@ class Join:
         exact = met.select("p", "x", shared.alias("both"), (F.col("n") + F.col("m") - shared).alias("either"))
         judged = exact.select("p", "x", (den * F.col("both") >= num * F.col("either")).alias("linked"), (1 - F.col("both") / F.col("either")).alias("away"))
         apart = bounded.where(~reaches).select("p", "x", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("away"))
-        return materialise(judged.unionByName(apart), "pairs-compared")
+        compared = materialise(judged.unionByName(apart), "pairs-compared")
+        discard(bounded, wanted, whole)
+        return compared
 
     def needed(self, n, m):
         """Elements that sets of these sizes must share to link."""
@@ -250,22 +256,26 @@ class Join:
         least = each.where("small").groupBy("g").agg(F.min("n").alias("least"))
         least = materialise(least, "least-sizes")
         kept = each.join(least, "g").where("small or partner >= least").select("g", "x", "n", "lost", "l", "small", "large")
-        return materialise(kept, "open-sets")
+        kept = materialise(kept, "open-sets")
+        discard(each, least)
+        return kept
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Links (u, v) that connect whatever is connected, and labels (x, l) of the linked vertices."""
         reach = 1 - self.num / self.den
-        compared, pairs = None, None
+        compared, pairs, short = None, None, None
         stars = self.vertices.select("x", "n", F.explode(F.arrays_zip("sigs", "lost")).alias("s")).select(F.col("s.sigs").alias("g"), "x", "n", F.col("s.lost").alias("lost"))
         # most lists hold one set: the others are found on slim rows, before anything else is carried along
         several = small_side(stars.groupBy("g").count().where("count > 1").select("g"), "lists-of-several")
-        stars = materialise(stars.join(several, "g", "left_semi"), "stars")
+        stars = left = materialise(stars.join(several, "g", "left_semi"), "stars")
+        discard(several)
         while True:
             pivots = stars.groupBy("g").agg(F.min(F.struct("lost", "x", "n")).alias("p"), F.min("x").alias("a"), F.max("x").alias("b"))
             pivots = pivots.where("a < b").select("g", F.col("p.x").alias("p"), F.col("p.n").alias("m"), F.col("p.lost").alias("lost_p"))
             pivots = materialise(pivots, "pivots")
             meets = self.possible(F.col("n"), F.col("lost"), F.col("m"), F.col("lost_p"))
             lists = materialise(stars.join(pivots, "g").where("x <> p").withColumn("meets", meets), "lists")
+            discard(left, pivots)
             asked = lists.where("meets").select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
             if pairs is not None:
                 asked = asked.unionByName(pairs)
@@ -273,7 +283,12 @@ class Join:
             if compared is not None:
                 asked = asked.join(compared, ["p", "x"], "left_anti")
             found = self.compare(asked)
-            compared = found if compared is None else materialise(compared.unionByName(found), "compared")
+            discard(short)
+            if compared is None:
+                compared = found
+            else:
+                known, compared = compared, materialise(compared.unionByName(found), "compared")
+                discard(known, found)
             links = compared.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
             labels = connected_components(links, "ngram-cc")
             # lists that still hold sets of two components, one of them not linked with the pivot
@@ -285,17 +300,21 @@ class Join:
                 .join(labels, "x", "left").withColumn("l", F.coalesce("l", "x"))
             )
             state = materialise(known, "list-state")
+            discard(lists)
             open_lists = materialise(state.groupBy("g").agg(
                 F.min(F.when(~F.col("linked"), F.col("away"))).alias("nearest"), F.min("l").alias("a"), F.max("l").alias("b"),
             ).where("nearest is not null and a <> b").select("g", "nearest"), "open-lists")
             # a slack of 1e-9 covers rounding in the differences of distances
             rest = state.join(open_lists, "g").where(~F.col("linked") | (F.col("away") >= F.col("nearest") - reach - 1e-9)).select("g", "x", "n", "lost", "l")
             rest = self.by_size(rest)
+            discard(state, open_lists)
             sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("l").alias("a"), F.max("l").alias("b"), F.max("small").alias("s"), F.max("large").alias("t"))
             sizes = materialise(sizes.where("a <> b and s and t").select("g", "size"), "open-sizes")
-            active = materialise(rest.join(sizes, "g"), "active")
+            left = active = materialise(rest.join(sizes, "g"), "active")
+            discard(rest, sizes)
             if not active.limit(1).count():
                 return links, labels
+            discard(labels)
             short = active.where(F.col("size") <= SHORT_LIST).join(self.vertices.select("x", "bits"), "x")
             short = materialise(short, "short-lists")
             one = short.where("small").select("g", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lost").alias("lost_y"), F.col("l").alias("ly"), F.col("bits").alias("bits_p"))
