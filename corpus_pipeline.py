@@ -29,16 +29,51 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return score_rows(docs, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
 
 
+#: Column that names a row of a stage's input: the ordinal of its file and its place in the file.
+ROW = "__row"
+#: Rows that one file can hold, as a power of two.
+FILE_BITS = 33
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ROW, a number that no two rows share, whatever their ids.
+
+    It is read from the files' own metadata, so that every reading gives a row the same
+    number and no copy of the texts is made; anything but a plain Parquet table is written first.
+    """
+    relation = docs._jdf.queryExecution().analyzed()
+    if relation.getClass().getSimpleName() != "LogicalRelation" or relation.relation().toString().lower() != "parquet":
+        docs = materialise(docs, "rows")
+    # one name a file: the driver holds them for any scan
+    names = sorted(r["file"] for r in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(n, i << FILE_BITS) for i, n in enumerate(names)], "__file string, __first long")
+    found = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")).join(F.broadcast(files), "__file")
+    return found.select(*docs.columns, (F.col("__first") + F.col("__at")).alias(ROW))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(small_side(dropped, "dropped"), ROW, "left_anti").drop(ROW)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(small_side(dropped, "dropped"), "doc_id", "left_anti")
+    """One row of each group of equal texts; rows that share an id, or have none, are judged each by itself."""
+    docs = numbered(docs)
+    named = docs.select(F.struct("doc_id", ROW).alias("id"), "text")  # of equally long texts the smallest doc_id stays, then the first row
+    return without_rows(docs, exact_dedup(named, id_col="id").where(~F.col("kept")).select(f"id.{ROW}"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    dropped = ngram_join(docs, k=5, num=80, den=100).where("doc_id <> component_id").select("doc_id")
-    return docs.join(small_side(dropped, "dropped"), "doc_id", "left_anti")
+    """One row, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8.
+
+    Rows that share an id, or have none, are documents of their own.
+    """
+    docs = numbered(docs)
+    judged = ngram_join(docs.select(ROW, "text"), k=5, num=80, den=100, id_col=ROW)
+    others = materialise(judged.where(F.col(ROW) != F.col("component_id")).select(ROW, "component_id"), "near-rows")
+    members = small_side(others.union(others.select("component_id", "component_id").distinct()), "near-members")
+    named = materialise(docs.select(ROW, "doc_id").join(members, ROW), "near-named")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("best")).select(f"best.{ROW}")
+    return without_rows(docs, named.select(ROW).join(small_side(stays, "near-stays"), ROW, "left_anti"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

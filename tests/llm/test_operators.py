@@ -227,3 +227,20 @@ def test_pipeline_brute(spark):
     whole = {i for i, t in texts.items() if any(x in " ".join(re.findall(r"\w+", t.lower())) for x in items)}
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, DIR).collect()}
     assert got == set(texts) - whole
+
+
+@pytest.mark.parametrize("stage", ["exact_stage", "near_stage"])
+@pytest.mark.parametrize("stored", [True, False])
+def test_stages_judge_rows_not_ids(spark, tmp_path, stage, stored):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcde")
+    rows = [(5, a), (5, a), (6, a), (7, b), (7, c), (8, c), (3, d), (None, e), (None, e), (None, d + " "), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if stored:
+        docs.repartition(3).write.parquet(str(tmp_path / "in"))
+        docs = spark.read.parquet(str(tmp_path / "in"))
+    got = getattr(corpus_pipeline, stage)(spark, docs, DIR)
+    assert got.columns == ["doc_id", "text"]
+    d_stays = (None, d + " ")  # the longer text in the one stage, the null id in the other
+    assert data(got) == sorted([(5, a), (7, b), (7, c), (None, e), d_stays, (9, "alone")], key=str)
