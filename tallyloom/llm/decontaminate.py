@@ -1,8 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks choose some words of a window and ignore the others. Windows of benchmark
-items and of documents meet on the hash of the chosen words, and around each meeting the
-words are compared one by one, allowing substitutions.
+items and of documents meet on the hash of the chosen words. Meetings with enough equal
+words nearby are then compared word by word, allowing substitutions.
+
+No overlap that counts is without a meeting. One of 26 words or more has a part of 13 to
+25 words that counts too, and in a stretch of n words with n // 5 substitutions the
+longest equal run has four words at least, except where 10, 11 or 15 words are cut into
+runs of three (and one of two), which the second mask finds.
 """
 
 from __future__ import annotations
@@ -18,13 +23,17 @@ from pyspark.sql import functions as F
 from .common import blocks, mix64, shingle_weights, strings, word_hashes
 
 #: Words chosen (1) and ignored (0) in a window.
-MASKS = ("111010010111", "110110110011", "101101101101")
+MASKS = ("1111", "111011")
 #: An overlap counts from so many words on (a shorter item: all of it), with so large a share equal.
 OVERLAP_WORDS, EQUAL_SHARE = 13, 0.8
 #: Items of fewer words are no evidence and never match.
 LEAST_WORDS = 8
 #: Bytes of benchmark text in one pass; a larger benchmark takes more passes, each with a bounded broadcast.
 PASS_BYTES = 8 << 20
+#: An overlap that counts has a part of so many words at most that counts too.
+PART_WORDS = 2 * OVERLAP_WORDS - 1
+#: Meetings that are looked at together.
+MEETINGS = 1 << 16
 
 #: Words are runs of ASCII letters and digits and of non-ASCII characters that are no punctuation or blanks.
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -40,12 +49,6 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(start, begins)
 
 
-def masks_for(lengths) -> list[list[int]]:
-    """Chosen positions by mask; items shorter than the masks get one that chooses all their words."""
-    fixed = [[i for i, x in enumerate(m) if x == "1"] for m in MASKS]
-    return fixed + [list(range(n)) for n in sorted({n for n in lengths if LEAST_WORDS <= n < len(MASKS[0])})]
-
-
 def seeds(words: np.ndarray, mask: list[int]) -> np.ndarray:
     n = max(len(words) - mask[-1], 0)  # texts shorter than the window have no seed
     out = np.full(n, np.uint64(hash(tuple(mask)) & 0x7FFFFFFF))
@@ -54,23 +57,25 @@ def seeds(words: np.ndarray, mask: list[int]) -> np.ndarray:
     return mix64(out)
 
 
-def best_overlap(item: np.ndarray, words: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
-    """First item word, length and equal words of the best stretch with item word i beside document word i + shift.
+def longest_overlap(item: np.ndarray, words: np.ndarray, shift: int, share: float, least: int) -> tuple[int, int, int] | None:
+    """First item word, length and equal words of the longest stretch with item word i beside document word i + shift.
 
-    The stretch gains 1 - share by an equal word and loses share by another, so that it
-    holds at least that share of equal words.
+    It has ``least`` words or more, of which ``share`` or more are equal; of equally long
+    ones it is that with the most equal words, then the first. None if there is none.
     """
     low, high = max(0, -shift), min(len(item), len(words) - shift)
-    best, run, begin = (0.0, low, low), 0.0, low
-    equal = item[low:high] == words[low + shift : high + shift]
-    for i, same in enumerate(equal.tolist(), low):
-        if run <= 0:
-            run, begin = 0.0, i
-        run += 1 - share if same else -share
-        if run > best[0]:
-            best = (run, begin, i + 1)
-    _, a, b = best
-    return a, b - a, int(equal[a - low : b - low].sum())
+    if high - low < least:
+        return None
+    count = np.concatenate([[0], np.cumsum(item[low:high] == words[low + shift : high + shift])])
+    gain = count - share * np.arange(len(count))
+    # the stretch up to j begins at the first place whose gain is no larger; a slack of 1e-9 covers rounding
+    first = np.searchsorted(-np.minimum.accumulate(gain), -gain - 1e-9)
+    n = int((np.arange(len(count)) - first).max())
+    if n < least:
+        return None
+    equal = np.where(gain[n:] >= gain[:-n] - 1e-9, count[n:] - count[:-n], -1)
+    a = int(equal.argmax())
+    return low + a, n, int(equal[a])
 
 
 class Benchmark:
@@ -80,7 +85,11 @@ class Benchmark:
         words, cut = words_of(texts)
         self.ids = ids
         self.items = [words[a:b] for a, b in zip(cut, cut[1:])]
-        self.masks = masks_for({len(w) for w in self.items})
+        self.masks = [[i for i, x in enumerate(m) if x == "1"] for m in MASKS]
+        self.words, self.cut = words, cut
+        #: Words that an overlap has at least, and how many of them are equal.
+        self.least = np.minimum(np.diff(cut), OVERLAP_WORDS)
+        self.need = np.ceil(EQUAL_SHARE * self.least - 1e-9).astype(np.int64)
         hashes, of, at = [], [], []
         for i, own in enumerate(self.items):
             if len(own) >= LEAST_WORDS:
@@ -97,30 +106,41 @@ class Benchmark:
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.hashes >> np.uint64(42)] = True
 
+    def meetings(self, words: np.ndarray, cut: np.ndarray):
+        """Arrays (row, item, shift) of meetings that have enough equal words around them for an overlap, MEETINGS at most at once."""
+        around = np.arange(len(MASKS[0]) - PART_WORDS, PART_WORDS)  # wherever in a part of an overlap the meeting is
+        for mask in self.masks:
+            found = seeds(words, mask)
+            at = np.flatnonzero(self.bits[found >> np.uint64(42)])
+            low, high = np.searchsorted(self.hashes, found[at], "left"), np.searchsorted(self.hashes, found[at], "right")
+            row = np.searchsorted(cut, at, "right") - 1
+            hit = (low < high) & (at + mask[-1] < cut[row + 1])  # no window that runs into the next text
+            at, low, high, row = at[hit], low[hit], high[hit], row[hit]
+            ends = np.cumsum(high - low)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, MEETINGS):
+                every = np.arange(a, min(a + MEETINGS, int(ends[-1])))
+                of = np.searchsorted(ends, every, "right")
+                k = high[of] - (ends[of] - every)
+                item, own, p, r = self.of[k], self.at[k], at[of], row[of]
+                i, j = (self.cut[item] + own)[:, None] + around, p[:, None] + around
+                inside = (i >= self.cut[item][:, None]) & (i < self.cut[item + 1][:, None]) & (j >= cut[r][:, None]) & (j < cut[r + 1][:, None])
+                equal = self.words[np.clip(i, 0, len(self.words) - 1)] == words[np.clip(j, 0, len(words) - 1)]
+                enough = (equal & inside).sum(axis=1) >= self.need[item]
+                yield r[enough], item[enough], (p - cut[r] - own)[enough]
+
     def leaks(self, texts: list[str]):
-        """(row, item, document word, item word, overlap, equal words), the best for each row and item."""
+        """(row, item, document word, item word, overlap, equal words), the longest for each row and item."""
         words, cut = words_of(texts)
         tried = set()
         best: dict[tuple[int, int], tuple] = {}
-        for mask in self.masks:
-            found = seeds(words, mask)
-            near = np.flatnonzero(self.bits[found >> np.uint64(42)])
-            low, high = np.searchsorted(self.hashes, found[near], "left"), np.searchsorted(self.hashes, found[near], "right")
-            hit = low < high
-            for p, lo, hi in zip(near[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
-                row = int(np.searchsorted(cut, p, "right")) - 1
-                if p + mask[-1] >= cut[row + 1]:
-                    continue  # the window runs into the next text
-                for k in range(lo, hi):
-                    item, shift = int(self.of[k]), p - int(cut[row]) - int(self.at[k])
-                    if (row, item, shift) in tried:
-                        continue
-                    tried.add((row, item, shift))
-                    own = self.items[item]
-                    a, n, equal = best_overlap(own, words[cut[row] : cut[row + 1]], shift, EQUAL_SHARE)
-                    if n >= min(OVERLAP_WORDS, len(own)) and equal >= EQUAL_SHARE * n:
-                        best[row, item] = max(best.get((row, item), (0,)), (equal, n, -(a + shift), -a))
-        for (row, item), (equal, n, d, a) in sorted(best.items()):
+        for met in self.meetings(words, cut):
+            for row, item, shift in set(zip(*(x.tolist() for x in met))) - tried:
+                tried.add((row, item, shift))
+                found = longest_overlap(self.items[item], words[cut[row] : cut[row + 1]], shift, EQUAL_SHARE, int(self.least[item]))
+                if found:
+                    a, n, equal = found
+                    best[row, item] = max(best.get((row, item), (0,)), (n, equal, -(a + shift), -a))
+        for (row, item), (n, equal, d, a) in sorted(best.items()):
             yield row, item, -d, -a, n, equal
 
 
@@ -150,10 +170,10 @@ def _benchmark(shared) -> Benchmark:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leak: doc_id, item_id, doc_word, item_word, overlap_words, equal_words.
 
-    The longest overlap of a document and an item; word numbers count from 0. Documents
-    without a leak have no row. Null and empty texts never match; an item of fewer than
-    LEAST_WORDS words neither; repeated rows give repeated leaks, equally good overlaps
-    the earliest; empty tables give no rows; further columns are ignored. No shuffle.
+    The longest overlap of a document and an item, which may end in substitutions; word
+    numbers count from 0. Documents without a leak have no row. Null and empty texts never
+    match; an item of fewer than LEAST_WORDS words neither; repeated rows give repeated
+    leaks, equally long overlaps that with the most equal words, then the earliest; empty tables give no rows; further columns are ignored. No shuffle.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_word int, item_word int, overlap_words int, equal_words int"

@@ -244,3 +244,45 @@ def test_stages_judge_rows_not_ids(spark, tmp_path, stage, stored):
     assert got.columns == ["doc_id", "text"]
     d_stays = (None, d + " ")  # the longer text in the one stage, the null id in the other
     assert data(got) == sorted([(5, a), (7, b), (7, c), (None, e), d_stays, (9, "alone")], key=str)
+
+
+def longest_by_force(item, words):
+    """(length, equal words, document word, item word) of the best stretch over all diagonals, and None without one."""
+    found = []
+    for shift in range(1 - len(item), len(words)):
+        for a in range(max(0, -shift), len(item)):
+            same = 0
+            for b in range(a, min(len(item), len(words) - shift)):
+                same += item[b] == words[b + shift]
+                n = b - a + 1
+                if n >= min(13, len(item)) and 5 * same >= 4 * n:
+                    found.append((n, same, -(a + shift), -a))
+    return max(found, default=None)
+
+
+def test_leaks_with_substitutions_at_every_position():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for n in (*range(8, 18), 20, 25, 31):
+        item = [word() for _ in range(n)]
+        known = decontaminate.Benchmark([0], [" ".join(item)])
+        most = 2 if n < 18 else 1
+        changes = [c for k in range(most + 1) for c in itertools.combinations(range(n), k)]
+        changes += [tuple(range(4 - x, n, 5)) for x in range(5)] + [tuple(range(3, n, 4))] + [tuple(r.sample(range(n), n // 5)) for _ in range(40)]
+        texts = []
+        for change in changes:
+            own = [word() if i in change else w for i, w in enumerate(item)]
+            texts.append([word() for _ in range(r.choice([0, 3]))] + own[r.choice([0, 0, 2]) :] + [word() for _ in range(r.choice([0, 3]))])
+        got = {row: (overlap, equal, -d, -i) for row, _, d, i, overlap, equal in known.leaks([" ".join(t) for t in texts])}
+        want = {row: best for row, t in enumerate(texts) if (best := longest_by_force(item, t))}
+        assert got == want
+
+
+def test_leaks_of_few_words_against_brute_force():
+    r = random.Random(7)
+    items = [[r.choice("abc") for _ in range(r.randint(6, 40))] for _ in range(12)]
+    texts = [[r.choice("abcd") for _ in range(r.randint(0, 30))] + r.choice(items)[:r.randint(4, 40)] for _ in range(40)]
+    known = decontaminate.Benchmark(list(range(12)), [" ".join(w) for w in items])
+    got = {(row, item): (overlap, equal, -d, -i) for row, item, d, i, overlap, equal in known.leaks([" ".join(t) for t in texts])}
+    want = {(row, k): best for row, t in enumerate(texts) for k, item in enumerate(items) if len(item) >= 8 and (best := longest_by_force(item, t))}
+    assert got == want and len(want) > 30
