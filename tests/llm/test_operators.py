@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secrets, token_counts, url_filter, warc
 from tallyloom.llm.queries import ORACLE_SQL, QUERIES
@@ -286,3 +287,20 @@ def test_leaks_of_few_words_against_brute_force():
     got = {(row, item): (overlap, equal, -d, -i) for row, item, d, i, overlap, equal in known.leaks([" ".join(t) for t in texts])}
     want = {(row, k): best for row, t in enumerate(texts) for k, item in enumerate(items) if len(item) >= 8 and (best := longest_by_force(item, t))}
     assert got == want and len(want) > 30
+
+
+def test_url_link_forms(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    base = "http://x.io/d/e/"
+    forms = [  # target on a page of base, and the page it names
+        ("next.html", base + "next.html"), ("../a", "http://x.io/d/a"), ("../../../b", "http://x.io/b"), ("./c/./d", base + "c/d"), ("f/..", base), ("?p=2", base + "page0?p=2"),
+        ("/go?u=http://other.com/x", "http://x.io/go?u=http://other.com/x"), ("/go?a=1&amp;b=2", "http://x.io/go?a=1&b=2"), ("h?a=1&#38;b=2&#x26;c", base + "h?a=1&b=2&c"),
+        ("q&eacute;&#x1F600;&no;", base + "q\u00e9\U0001F600&no;"), ("//z.io/1", "http://z.io/1"), ("HTTPS://Z.io/2", "http://z.io/2"), ("/r/../s", "http://x.io/s")]
+    rows = [(0, base + "page0", canonical.format("#top") + "".join((canonical, refresh)[i % 2].format(to) for i, (to, _) in enumerate(forms)) + canonical.format("mailto:a@x.io"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select(
+        url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"), url_filter.key_of(F.col("url")).alias("key"), "html")
+    assert sorted(r["v"] for r in url_filter.link_edges(pages).collect()) == sorted(v.partition("://")[2] for _, v in forms)
+    more = [(1, "http://bad.com/en/1?a=1&b=2", None), (2, "http://y.io/m/a", canonical.format("b") + canonical.format("http://bad.com/en/1?a=1&amp;b=2")), (3, "http://y.io/m/b", None),
+            (4, "http://y.io/n", canonical.format("/go?u=http://bad.com/en/1")), (5, "http://y.io", refresh.format("o")), (6, "http://y.io/o", canonical.format("../m/b"))]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(more, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block"}
