@@ -125,7 +125,8 @@ def turns(lines: DataFrame) -> DataFrame:
         F.col("file").alias("session_id"), F.col("line_no").cast("long").alias("seq"), _ms(F.coalesce("e.message.timestamp", "e.timestamp")).alias("ts_ms"),
         F.col("e.message.id").alias("message_id"), model.alias("model"), "in_tok", "out_tok", "cr_tok", "cw_tok", "rs_tok",
         F.coalesce(use["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0)).alias("cw1h_tok"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
-        "interrupted", F.coalesce("after_compaction", F.lit(False)).alias("after_compaction"), F.lit(1).alias("iterations"), "native_usd",
+        "interrupted", F.coalesce("after_compaction", F.lit(False)).alias("after_compaction"),
+        F.size(F.when(F.startswith(F.ltrim(use["iterations"]), F.lit("[")), F.from_json(use["iterations"], "array<string>"))).alias("iterations"), "native_usd",
         files.alias("files"), commands.alias("commands"), cats.alias("tool_cats"),
         F.exists(F.coalesce("blocks", F.array()), lambda b: b["type"].isin("text", "thinking")).alias("has_text"),
         F.exists(others, lambda b: kinds[tool(b)].isNull()).alias("unknown_tool"),

@@ -57,3 +57,14 @@ def test_uncounted(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, LINES)))
     found = transcripts.entries(transcripts.read_lines(spark, str(tmp_path))).groupBy("uncounted").count().where(F.col("uncounted").isNotNull()).collect()
     assert [tuple(r) for r in found] == [("compaction", 1)]
+
+
+def test_iterations_are_counted(spark, tmp_path):
+    again = dict(input_tokens=2, output_tokens=50, cache_creation_input_tokens=40000, cache_creation={"ephemeral_1h_input_tokens": 40000, "ephemeral_5m_input_tokens": 0})
+    kinds = {"none": {}, "one": {"iterations": [{"type": "message"}]}, "two": {"iterations": [{"type": "message"}, {"type": "message"}]}, "empty": {"iterations": []}, "odd": {"iterations": {"a": 1}}}
+    lines = [answer("first", [tool("Edit", file_path="src/a.ts")], **again)] + [answer(k, [tool("Edit", file_path="src/a.ts")], **again, **v) for k, v in kinds.items()]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = transcripts.turns(transcripts.read_lines(spark, str(tmp_path)))
+    assert {r["message_id"]: r["iterations"] for r in rows.collect()} == {"first": None, "none": None, "one": 1, "two": 2, "empty": 0, "odd": None}
+    split = {r["message_id"] for r in ops.split_overhead(ops.previous_context(rows)).collect()}
+    assert {x for x in split if x.endswith("#oh")} == {"none#oh", "one#oh", "empty#oh", "odd#oh"} and "two" in split
