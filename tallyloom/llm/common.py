@@ -12,17 +12,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a vectorised step holds at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that a task takes up at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 18
+#: Bytes, or words, that a vectorised step works on at once, whatever the length of a text.
+STEP = 1 << 16
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set once.
+    Where the setting is absent and Spark runs in one process (tests), a temporary folder is set once.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyloom.scratch", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("tallyloom.scratch", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -124,11 +128,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, separator: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Start offset and 64-bit hash of each word: a run of bytes outside ``separator``, with A-Z lower-cased or not.
-
-    ``data`` must end in a separator.
-    """
+def _words(data: np.ndarray, separator: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     gap = separator[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
@@ -143,6 +143,34 @@ def word_hashes(data: np.ndarray, separator: np.ndarray = _SPACE, lower: bool =
     return start, mix64(np.add.reduceat(value, first) + length.astype(np.uint64))
 
 
+def stretches(data: np.ndarray, separator: np.ndarray = _SPACE, step: int = STEP):
+    """Places (a, b) that cut ``data``, which ends in a separator, into stretches of about ``step`` bytes, each ending in one."""
+    a = 0
+    while a < len(data):
+        b = min(a + step, len(data))
+        while not separator[data[b - 1]]:
+            ahead = separator[data[b : b + step]]
+            b += int(ahead.argmax()) + 1 if ahead.any() else len(ahead)
+        yield a, b
+        a = b
+
+
+def word_hashes(data: np.ndarray, separator: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Start offset and 64-bit hash of each word: a run of bytes outside ``separator``, with A-Z lower-cased or not.
+
+    ``data`` must end in a separator. It is read in stretches, so that what a word needs
+    beside its hash is held for STEP bytes, or for one word, at a time.
+    """
+    starts, hashes = [], []
+    for a, b in stretches(data, separator):
+        start, own = _words(data[a:b], separator, lower)
+        starts.append(start + a)
+        hashes.append(own)
+    if not starts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_weights(k: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(k)).integers(1, 2**63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -159,6 +187,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted; made STEP words at a time."""
+    last = max(len(words) - k + 1, 1)
+    found = [np.unique(shingle_hashes(words[a : a + STEP + k - 1], k)) for a in range(0, last, STEP)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges`` (columns u, v), as rows (x, l).
 

@@ -33,7 +33,7 @@ PASS_BYTES = 8 << 20
 #: An overlap that counts has a part of so many words at most that counts too.
 PART_WORDS = 2 * OVERLAP_WORDS - 1
 #: Meetings that are looked at together.
-MEETINGS = 1 << 16
+MEETINGS = 1 << 13
 
 #: Words are runs of ASCII letters and digits and of non-ASCII characters that are no punctuation or blanks.
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])

@@ -57,7 +57,7 @@ def exact_dedup(
         .where(F.col("count") >= least).orderBy(F.desc("count")).limit(int(1 / hot_share)).collect()
     ]
     h = F.xxhash64("norm")
-    segment = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")).otherwise(F.lit(-1)) if hot else F.lit(-1)
+    segment = F.when(F.col("h").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(segments)).cast("int")).otherwise(F.lit(-1)) if hot else F.lit(-1)
     keyed = rows.withColumn("h", h).withColumn("segment", segment).withColumn("head", F.substring("norm", 1, 16))
     dealt = keyed.repartitionByRange("head", "h", "segment")
     key = ["head", "h", "segment", "norm"]

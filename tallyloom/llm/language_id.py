@@ -6,6 +6,7 @@ gets the language whose profile its own ranking is least out of place with.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -13,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, materialise, strings
+from .common import STEP, blocks, discard, held_out, materialise, strings
 
 #: n-grams in a profile and in a document's ranking.
 PROFILE_SIZE = 300
 #: Documents per language that profiles are learned from, about (hash-sampled when there are more).
 TRAIN_ROWS = 2000
+_BLANK = re.compile(r"\s")
 
 
 @cache
@@ -27,11 +29,35 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def parts_of(text: str, limit: int = STEP):
+    """The text in parts of about ``limit`` characters, cut before blanks, where no n-gram crosses and lower-casing needs no context."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _BLANK.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 1- to 3-grams of the lower-cased words (each packed into 63 bits) and their counts.
 
     Letters only; words are padded by one blank on either side; no n-gram spans two words.
     """
+    grams, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for part in parts_of(text):
+        found, n = _grams(part)
+        if not len(grams):
+            grams, counts = found, n
+            continue
+        grams, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(grams)).astype(np.int64)
+    return grams, counts
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
     letter = letters()[points]
     c = np.concatenate([[32], np.where(letter, points, 32), [32]]).astype(np.int64)
@@ -40,7 +66,8 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     inner = c != 32
     two = (c[:-1] << 21) | c[1:]
     three = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inner[1:-1]]
-    return np.unique(np.concatenate([c[inner], two, three]), return_counts=True)
+    # a text without letters is a lone blank, which has no n-gram
+    return np.unique(np.concatenate([c[inner], two[inner[:-1] | inner[1:]], three]), return_counts=True)
 
 
 def ranking(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE_SIZE) -> np.ndarray:
@@ -78,22 +105,26 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, train_rows: int =
     counted = materialise(
         chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "grams")
-    return {
+    profiles = {
         lang: [r["gram"] for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).collect()]
         for lang in sorted(per)
     }
+    discard(counted)
+    return profiles
 
 
-def language_id(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = PROFILE_SIZE) -> DataFrame:
+def language_id(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = PROFILE_SIZE, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
+    Profiles not given are learned from about ``train_rows`` rows a language, chosen by hash.
+
     ``score`` is 1 less the out-of-place distance as a share of the largest possible.
     Ties between languages go to the first in order of name. Null and empty texts, texts
     without a letter, and all texts if nothing could be learned, are ``und`` with score
     0; a null id is not held out; repeated rows are judged alike; an empty table gives
     no rows; further columns are ignored.
     """
-    profiles = learn_profiles(docs, size) if profiles is None else profiles
+    profiles = learn_profiles(docs, size, train_rows) if profiles is None else profiles
     names = sorted(profiles)
     known = np.unique(np.concatenate([np.asarray(profiles[n], dtype=np.int64) for n in names])) if names else np.zeros(0, dtype=np.int64)
     place = np.full((len(known), len(names)), -1, dtype=np.int32)
@@ -103,7 +134,7 @@ def language_id(docs: DataFrame, profiles: dict[str, list[int]] | None = None, s
     def judge(text: str) -> tuple[str, float]:
         grams, counts = gram_counts(text)
         top = ranking(grams, counts, size)
-        if len(grams) < 2 or not len(known):  # a lone blank pair: no letter
+        if not len(grams) or not len(known):
             return "und", 0.0
         at = np.minimum(np.searchsorted(known, top), len(known) - 1)
         ranks = np.where((known[at] == top)[:, None], place[at], -1)

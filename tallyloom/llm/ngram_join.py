@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, discard, materialise, mix64, shingle_hashes, small_side, text_bytes, word_hashes
+from .common import blocks, connected_components, discard, materialise, mix64, shingle_set, small_side, text_bytes, word_hashes
 
 #: One document in so many is counted for the order and the boundary.
 SAMPLE = 16
@@ -46,7 +46,7 @@ def sets(column, k: int):
     start, words = word_hashes(data)
     cut = np.searchsorted(start, offsets)
     for a, b in zip(cut, cut[1:]):
-        yield np.unique(shingle_hashes(words[a:b], k))
+        yield shingle_set(words[a:b], k)
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -176,7 +176,6 @@ class Join:
                     ["x", "n", "d1", "d2", "bits", "sigs", "lost"])
 
         self.described = materialise(docs.mapInArrow(describe, f"x {kind}, n long, d1 long, d2 long, bits array<long>, sigs array<long>, lost array<int>"), "sets-described")
-        self._one_row_an_id()
         some = self.described.where("n > 0 and x is not null")
         classes = materialise(some.groupBy("n", "d1", "d2").agg(F.min("x").alias("rep")), "set-classes")
         # equal sets are one vertex, named by their smallest id
@@ -185,15 +184,6 @@ class Join:
         copies = small_side(self.members.where("x <> rep").select("x"), "set-copies")
         self.vertices = some.join(copies, "x", "left_anti")
 
-    def _one_row_an_id(self) -> None:
-        """Rows that repeat an id join as the one with the largest set; all of them get its result."""
-        self.repeated = bool(self.described.groupBy("x").count().where("count > 1 and x is not null").limit(1).count())
-        if self.repeated:
-            named = self.described.where("x is not null").groupBy("x").agg(F.max(F.struct("n", "d1", "d2", "bits", "sigs", "lost")).alias("s")).select("x", "s.*")
-            every = self.described
-            self.described = materialise(named.unionByName(every.where("x is null")), "sets-described")
-            discard(every)
-
     def bound(self):
         """What sets with columns n, bits and m, bits_p can share at most, and whether that is enough to link."""
         differ = F.aggregate(F.zip_with("bits", "bits_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
@@ -218,8 +208,6 @@ class Join:
 
         kind = self.docs.schema["x"].dataType.simpleString()
         whole = self.docs.join(wanted, "x", "left_semi").mapInArrow(read, f"x {kind}, own array<long>")
-        if self.repeated:
-            whole = whole.groupBy("x").agg(F.max_by("own", F.size("own")).alias("own"))
         whole = materialise(whole, "pair-sets")
         met = near.join(whole, "x").join(whole.select(F.col("x").alias("p"), F.col("own").alias("own_p")), "p")
         shared = F.size(F.array_intersect("own", "own_p"))
@@ -333,13 +321,18 @@ def ngram_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_co
     ``num / den`` or more; component_id is the smallest id reachable over links. Words are
     runs of characters other than blanks, A-Z lower-cased; fewer than ``k`` words are one
     shingle; null, empty and blank texts have none and link with nothing. Rows that repeat
-    an id are one document, that with the largest set, in one row; rows without an id come
-    back as they are, linked with nothing (component null); an empty table gives no rows;
-    further columns are ignored. Elements are compared by their 64-bit hashes.
+    an id are documents each, with a row each; rows without an id come back as they are,
+    linked with nothing (component null); an empty table gives no rows; further columns
+    are ignored. Elements are compared by their 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).alias("x"), F.col(text_col).alias("text"))
+    repeated = bool(rows.groupBy("x").count().where("count > 1 and x is not null").limit(1).count())
+    if repeated:  # the join needs a name a row: the id and a number, so that the smallest name has the smallest id
+        number = F.monotonically_increasing_id().alias("row")
+        rows = materialise(rows.select(F.when(F.col("x").isNotNull(), F.struct(F.col("x").alias("id"), number)).alias("x"), "text"), "ngram-rows")
     join = Join(rows, k, num, den)
     _, labels = join.run()
     labelled = join.members.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("x", F.col("n"), F.coalesce("l", "rep").alias("component_id"))
     alone = join.described.where("n = 0 or x is null").select("x", "n", F.col("x").alias("component_id"))
-    return labelled.unionByName(alone).select(F.col("x").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    name = (lambda c: F.col(f"{c}.id")) if repeated else F.col
+    return labelled.unionByName(alone).select(name("x").alias(id_col), F.col("n").alias("n_shingles"), name("component_id").alias("component_id"))

@@ -124,8 +124,8 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: tuple[str, str]
     """
     spark = docs.sparkSession
     cut = materialise(pieces(docs, sequence, vocabulary), "pieces")
-    parts = 16
-    while parts < 1024 and parts * rows_per_rank_task < cut.count():
+    parts, rows = 16, cut.count()
+    while parts < 1024 and parts * rows_per_rank_task < rows:
         parts *= 2
     cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = cut.groupBy("length", "part").count().toPandas().sort_values(["length", "part"])  # sequence * parts rows at most

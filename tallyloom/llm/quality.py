@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, mix64, text_bytes, word_hashes, _SPACE
+from .common import blocks, held_out, mix64, stretches, text_bytes, word_hashes, _SPACE
 
 #: Labelled rows a class that the model is fitted on, about (hash-sampled when there are more).
 TRAIN_ROWS = 1500
@@ -24,28 +24,47 @@ STEPS, MOST_EPOCHS = 18_000, 40
 THRESHOLD = 0.7
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all rows joined, and the row of each.
+def features(data: np.ndarray, offsets: np.ndarray):
+    """Arrays (feature numbers, row of each), one pair for each stretch of the joined rows.
 
-    Words; 3- and 4-grams of the characters' bytes, blanks included; pairs of
-    neighbouring words, in which a repeated word is written as a reference back, so
-    that all repeats share one feature.
+    Words; 3- and 4-grams of the characters' bytes, blanks included; pairs of neighbouring
+    words; and one feature for every word that stands twice in a row. No feature spans two rows.
     """
-    start, words = word_hashes(data, lower=False)
-    row_of_word = np.searchsorted(offsets, start, side="right") - 1
-    same = (words[1:] == words[:-1]) & (row_of_word[1:] == row_of_word[:-1])
-    b = np.where(_SPACE[data], 32, data).astype(np.uint64)
-    three = b[:-2] | (b[1:-1] << np.uint64(8)) | (b[2:] << np.uint64(16)) | np.uint64(1 << 40)
-    four = b[:-3] | (b[1:-2] << np.uint64(8)) | (b[2:-1] << np.uint64(16)) | (b[3:] << np.uint64(24)) | np.uint64(1 << 41)
-    row_of_byte = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - 17)
-    ids = np.concatenate([
-        mix64(words) >> shift, np.full(int(same.sum()), 1, dtype=np.uint64),
-        (three * odd) >> shift, (four * odd) >> shift]).astype(np.int64)
-    rows = np.concatenate([row_of_word, row_of_word[1:][same], row_of_byte[:-2], row_of_byte[:-3]])
-    inside = np.concatenate([np.ones(len(words) + int(same.sum()), dtype=bool), row_of_byte[:-2] == row_of_byte[2:], row_of_byte[:-3] == row_of_byte[3:]])
-    return ids[inside], rows[inside]
+    odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
+    last_word, last_row = np.zeros(0, dtype=np.uint64), -1
+    for at, to in stretches(data):
+        start, words = word_hashes(data[at:to], lower=False)
+        row_of_word = np.searchsorted(offsets, start + at, side="right") - 1
+        w = np.concatenate([last_word, words])
+        r = np.concatenate([[last_row] * len(last_word), row_of_word]).astype(np.int64)
+        beside = r[1:] == r[:-1]
+        pairs = mix64(w[:-1] * odd + w[1:])[beside] >> shift
+        same = beside & (w[1:] == w[:-1])
+        last_word, last_row = w[-1:], int(r[-1]) if len(r) else -1
+        b = np.where(_SPACE[data[at : to + 3]], 32, data[at : to + 3]).astype(np.uint64)
+        row_of_byte = np.searchsorted(offsets, np.arange(at, at + len(b)), side="right") - 1
+        n3, n4 = min(to - at, len(b) - 2), min(to - at, len(b) - 3)
+        grams, owners = [], []
+        for n, k in ((n3, 3), (n4, 4)):
+            if n > 0:
+                g = np.full(n, np.uint64(1 << (37 + k)))
+                for j in range(k):
+                    g |= b[j : n + j] << np.uint64(8 * j)
+                inside = row_of_byte[:n] == row_of_byte[k - 1 : n + k - 1]
+                grams.append(((g * odd) >> shift)[inside])
+                owners.append(row_of_byte[:n][inside])
+        ids = np.concatenate([mix64(words) >> shift, pairs, np.full(int(same.sum()), 1, dtype=np.uint64), *grams]).astype(np.int64)
+        yield ids, np.concatenate([row_of_word, r[1:][beside], r[1:][same], *owners])
+
+
+def counted(found) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row * BUCKETS + feature, ascending, and how often each occurs."""
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for ids, rows in found:
+        more, n = np.unique(rows * BUCKETS + ids, return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    return keys, counts
 
 
 @dataclass
@@ -111,26 +130,35 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     def describe(batches):
         for part in blocks(batches):
-            ids, rows = features(*text_bytes(part.column(1)))
-            keys, counts = np.unique(rows * BUCKETS + ids, return_counts=True)
+            keys, counts = counted(features(*text_bytes(part.column(1))))
             cut = np.searchsorted(keys // BUCKETS, np.arange(part.num_rows + 1))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), lists(keys % BUCKETS), lists(counts), part.column(2)], ["doc_id", "ids", "counts", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(describe, f"doc_id {kind}, ids array<int>, counts array<int>, quality int").toArrow()
-    examples = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality"))), key=str)
-    order = {k: i for i, k in enumerate(zip(found.column("doc_id").to_pylist(), found.column("quality").to_pylist()))}
-    ids, counts = found.column("ids").combine_chunks(), found.column("counts").combine_chunks()
-    if not examples or len({q for _, q in examples}) < 2:
+    order = sorted(range(found.num_rows), key=lambda i: (str(found.column("doc_id")[i].as_py()), found.column("quality")[i].as_py()))
+    labels = found.column("quality").to_numpy()
+    if len(set(labels.tolist())) < 2:
         return None
+    # views of what was received, not copies: features and counts of all examples are the driver's largest data
+    ids, counts = ([row for chunk in found.column(c).chunks for row in views(chunk)] for c in ("ids", "counts"))
     total = per[0] + per[1]
-    take = lambda a, i: a[i].values.to_numpy()
-    return fit([(take(ids, order[e]).astype(np.int64), take(counts, order[e]).astype(float), e[1]) for e in examples], (per[0] / total, per[1] / total))
+    return fit([(ids[i], counts[i], int(labels[i])) for i in order], (per[0] / total, per[1] / total))
 
 
-def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with a column ``quality_score``, the chance of label 1; 0.5 without a model. Narrow: no shuffle."""
+def views(lists: pa.ListArray) -> list[np.ndarray]:
+    cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def score_rows(docs: DataFrame, model: Model | None, out: str = "quality_score") -> DataFrame:
+    """``docs`` with a last column ``out``, the chance of label 1; 0.5 without a model. Narrow: no shuffle.
+
+    ``out`` must not be a column of ``docs``.
+    """
+    if out in docs.columns:
+        raise ValueError(f"documents have a column {out} already")
     spark = docs.sparkSession
     names = docs.columns
     at = names.index("text")
@@ -141,14 +169,16 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
             score = np.full(part.num_rows, 0.5)
             if shared.value is not None:
                 slopes, bias = shared.value
-                ids, rows = features(*text_bytes(part.column(at)))
-                n = np.bincount(rows, minlength=part.num_rows)
-                z = np.bincount(rows, weights=slopes[ids], minlength=part.num_rows) / np.maximum(n, 1) + bias
+                n, z = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows)
+                for ids, rows in features(*text_bytes(part.column(at))):
+                    n += np.bincount(rows, minlength=part.num_rows)
+                    z += np.bincount(rows, weights=slopes[ids], minlength=part.num_rows)
+                z = z / np.maximum(n, 1) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+    return docs.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -15,21 +15,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A candidate: an unbroken run of the characters that keys, digests and tokens are written in.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: Candidates: private keys in armour; signed web tokens; what is assigned to a secret's name, from 8 characters on; and
+#: unbroken runs of the characters that keys, digests and tokens are written in, from 16 on.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_\-.])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
+    r"""|(?<=[:=\s"'])(?=[^\s"'`<>,;()\[\]{}]{8})(?<=(?i:passw|passwd|password|passphrase|pwd|secret|token|api_key|access_key)["']?\s{0,2}[:=]\s{0,2}["']?)"""
+    r"""[^\s"'`<>,;()\[\]{}]{7,}[A-Za-z0-9+/=_\-!@#$%^&*]"""
+    r"|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Characters of text kept on either side of a candidate.
 AROUND = 48
 MARK = "\x01"
+#: Words in the dictionary: so many of the most frequent words of the corpus, of 4 to 12 letters.
+DICTIONARY = 400
 
-# Words that ordinary long runs are made of.
-WORDS = (
-    "about", "access", "account", "address", "admin", "after", "article", "build", "cation", "check", "class", "client", "color", "commit", "config",
-    "content", "count", "data", "default", "document", "error", "event", "example", "file", "first", "function", "group", "handler", "header", "heit",
-    "image", "index", "info", "ing", "item", "keit", "label", "language", "length", "lich", "line", "list", "main", "ment", "message", "method", "model",
-    "module", "name", "number", "object", "option", "page", "param", "path", "place", "process", "project", "query", "record", "release", "report",
-    "request", "response", "result", "sample", "schema", "section", "server", "service", "session", "setting", "size", "source", "state", "status",
-    "string", "system", "table", "test", "text", "the", "time", "tion", "title", "type", "ung", "update", "user", "value", "version", "view", "window",
-)
+# What stands before a secret, before a digest, and how known keys begin.
 SECRET_NEAR = r"(?i)(token|secret|passw|passwd|pwd|api.?key|access.?key|auth|credential|bearer|private)[^\n]{0,16}$"
 DIGEST_NEAR = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|build|hash|blob)[^\n]{0,16}$"
 ASSIGNED = r"""[:=]\s{0,2}["']?$"""
@@ -41,6 +41,13 @@ FEATURES = (
 )
 
 
+def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> list[str]:
+    """The words that most documents hold, counted over all of them; of equal counts the first in order."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\b[a-z]{4,12}\b"), 0))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()]
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, start, found, before, after for every candidate; start counts characters from 0.
 
@@ -60,7 +67,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return each.withColumn("start", F.sum(F.col("gap") + F.char_length("found")).over(so_far) - F.char_length("found")).select("id", "start", "found", "before", "after")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, words: list[str]) -> DataFrame:
+    covered = "|".join(sorted(words, key=len, reverse=True)) or "(?!)"
     n = F.char_length("found").cast("double")
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("found", "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     turn = F.regexp_replace(F.regexp_replace(F.lower("found"), "[^a-z]", ""), "[aeiouy]+|[^aeiouy]+", "x")
@@ -73,7 +81,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "digit_letter": share(F.col("kinds"), "0(?=[aA])|[aA](?=0)"),
         "case_changes": share(F.col("kinds"), "a(?=A)|A(?=a)"),
         "vowel_turns": F.char_length(turn) / n,
-        "words": 1 - F.char_length(F.regexp_replace(F.lower("found"), "|".join(sorted(WORDS, key=len, reverse=True)), "")) / n,
+        "words": 1 - F.char_length(F.regexp_replace(F.lower("found"), covered, "")) / n,
         "slashes": share(F.col("found"), "/"),
         "path_before": flag(F.col("before").rlike(r"(://|[/.@#?&])[^\s]*$")),
         "path_after": flag(F.col("after").rlike(r"^[/.@#?&:]\w")),
@@ -84,17 +92,20 @@ def with_features(found: DataFrame) -> DataFrame:
     })
 
 
-def labelled_findings(spark: SparkSession, each: int = 60, seed: int = 5) -> DataFrame:
-    """A generated training set (text, label), one finding a text: ``each`` texts of every shape below.
+def labelled_findings(spark: SparkSession, words: list[str], each: int = 60, seed: int = 5) -> DataFrame:
+    """A generated table of labelled findings (text, label), one finding a text: ``each`` texts of every shape below.
 
-    Real findings, labelled by hand, may take its place or be added.
+    Texts and false findings are made of dictionary ``words`` and of syllables. Findings
+    labelled by hand may take its place or be added. Another seed gives a held-out part.
     """
     r = random.Random(seed)
     pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     upper, hexes = lower.upper(), digits + "abcdef"
     syllables = ["the", "er", "in", "on", "tion", "ing", "and", "re", "es", "cion", "eaux", "lich", "keit", "ung", "que", "ment", "sch", "ra", "do", "le", "ver", "ti", "st", "ou"]
-    word = lambda k=2: "".join(r.choice(syllables) for _ in range(k))
+    some = words or syllables
+    word = lambda k=2: "".join(r.choice(r.choice((some, syllables))) for _ in range(k))
+    signs = "!@#$%^&*"
     text = lambda: " ".join(word(r.randint(1, 3)) for _ in range(r.randint(2, 6)))
     names = ["token", "secret", "password", "passwd", "api_key", "access_key", "auth_token", "client_secret", "credential", "private_key"]
     sign = lambda: r.choice(["=", " = ", ": ", ":"])
@@ -105,6 +116,10 @@ def labelled_findings(spark: SparkSession, each: int = 60, seed: int = 5) -> Dat
         lambda: r.choice(names) + sign() + quote(pick(lower + upper + digits + "+/", 40) + "=="),
         lambda: r.choice(["AKIA", "ASIA"]) + pick(upper + digits, 16),
         lambda: r.choice(["key ", "use ", ""]) + r.choice(["ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-"]) + pick(lower + upper + digits, r.randint(20, 36)),
+        lambda: r.choice(names[:4]) + sign() + quote(pick(lower, 3) + pick(digits, 2) + pick(upper, 2) + pick(signs, 1) + pick(lower + digits, r.randint(1, 6))),
+        lambda: r.choice(names[:4]) + sign() + quote(pick(lower + upper + digits, r.randint(9, 15))),
+        lambda: "eyJ" + pick(lower + upper + digits, 20) + "." + pick(lower + upper + digits + "-_", 40) + "." + pick(lower + upper + digits + "-_", 43),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(lower + upper + digits + "+/", 64) + "\n" + pick(lower + upper + digits + "+/", 48) + "==\n-----END RSA PRIVATE KEY-----",
         lambda: "Authorization: Bearer " + pick(lower + upper + digits + "-_", r.randint(24, 60)),
     ]
     false = [
@@ -119,28 +134,35 @@ def labelled_findings(spark: SparkSession, each: int = 60, seed: int = 5) -> Dat
         lambda: "/usr/local/" + "/".join(word() for _ in range(4)) + ".txt",
         lambda: pick(digits, r.randint(16, 24)),
         lambda: pick("-_", 1) * r.randint(16, 40),
+        lambda: r.choice(names[:4]) + sign() + word(r.randint(2, 3)) + "-" + word(2),
+        lambda: r.choice(names[:4]) + sign() + quote(r.choice(["changeme-example", "your_password_here", "os.environ.value", "get_from_config", "placeholder"])),
         lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + "_" + word().upper(),
     ]
     rows = [(f"{text()} {shape()} {text()}", label) for label, shapes in ((1.0, true), (0.0, false)) for shape in shapes for _ in range(each * (2 if label else 1))]
     return spark.createDataFrame(rows, "text string, label double")
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel:
+def train(findings: DataFrame, words: list[str], trees: int = 24, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel:
     """A forest from labelled findings (text, label): the candidates of a text carry its label."""
-    rows = with_features(candidates(findings.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("i"), "label"))))
+    rows = with_features(candidates(findings.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("i"), "label"))), words)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumn("label", F.col("id.label")))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(ready.select("features", "label"))
 
 
-def secrets(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(
+    docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+    words: list[str] | None = None,
+) -> DataFrame:
     """One row per secret: id, start, length, secret_sha256, score.
 
-    The secret itself is not returned, only its place and digest. Null and empty texts
-    hold none; very long texts give a row a candidate; repeated rows give repeated
-    findings; a null id is kept; an empty table gives no rows; further columns are ignored.
+    The secret itself is not returned, only its place and digest. The dictionary is the
+    corpus's own unless ``words`` are given. Null and empty texts hold none; very long
+    texts give a row a candidate; repeated rows give repeated findings; a null id is kept;
+    an empty table gives no rows; further columns are ignored.
     """
-    model = model or train(labelled_findings(docs.sparkSession))
-    rows = with_features(candidates(docs, id_col, text_col))
+    words = dictionary(docs, text_col=text_col) if words is None else words
+    model = model or train(labelled_findings(docs.sparkSession, words), words)
+    rows = with_features(candidates(docs, id_col, text_col), words)
     judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return judged.withColumn("score", score).where(F.col("score") >= threshold).select(

@@ -2,10 +2,12 @@
 
 A byte-pair vocabulary is compiled, state by state as texts need them, into a
 deterministic transducer over bytes whose transitions carry the number of tokens they
-emit (negative where a later byte merges tokens). Texts are cut into chunks, all chunks
-of a block run in step through the transition table, and the chunks' state maps compose
-by a prefix scan: behind the first word end of a chunk its state no longer depends on
-where it began, so a map is the part before that end, a count, and the state at the end.
+emit (negative where a later byte merges tokens). Texts are cut into chunks, and a
+chunk's state map says, for a state before it, the state behind it and the tokens
+between. A map is made for the few states that can come before its chunk: behind a word
+end there is one state only; inside a long word it is guessed by running a few bytes
+ahead of the chunk, and maps gain the states that their neighbours' maps end in. All
+chunks run in step through the transition table; then the maps compose along each text.
 """
 
 from __future__ import annotations
@@ -22,30 +24,66 @@ from pyspark.sql import functions as F
 
 from .common import blocks, strings
 
-#: Symbols in a chunk.
-CHUNK = 512
-#: States after which the table is emptied and compiled anew, which bounds its memory.
-STATES = 250_000
+#: Symbols in a chunk, and before it that a guess of its first state is made from.
+CHUNK, AHEAD = 512, 64
+#: Symbols that are run together; states are carried from one such window to the next.
+WINDOW = 1 << 18
+#: Rounds in which maps gain the states that the maps before them end in; what then still lacks is run on the way.
+ROUNDS = 4
+#: States after which the table is emptied between windows and compiled anew, which bounds its memory.
+STATES = 150_000
+#: Characters of a text that are normalised and cut into words at once.
+PART_CHARS = 1 << 17
 LIMIT = 2048
+_BLANK = re.compile(r"[ \t\n\r]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # Classes of code points for the word pattern: blank, letter, digit, other.
 BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
-@cache
-def classes() -> np.ndarray:
-    """The class of every code point in the Unicode version of the vocabulary's library, asked once a worker."""
-    from tokenizers import Regex, normalizers
+class Characters:
+    """What the vocabulary's library knows of characters, asked once for each that occurs."""
+
+    UNKNOWN = 255
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers
+
+        self.kind = np.full(0x110000, self.UNKNOWN, dtype=np.uint8)
+        self.patterns = [(k, normalizers.Replace(Regex(p), "\0")) for k, p in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (BLANK, r"\s"))]
+        self.lowercase = normalizers.Lowercase()
+        self.lowered: set[str] = set()  # characters that were asked for
+        self.other: dict[int, str] = {ord("Σ"): "σ"}  # lower-cased otherwise than Python does
+
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        kind = self.kind[points]
+        if (kind == self.UNKNOWN).any():
+            new = np.unique(points[kind == self.UNKNOWN])
+            every = "".join(map(chr, new.tolist()))
+            self.kind[new] = OTHER
+            for k, pattern in self.patterns:
+                same = np.frombuffer(pattern.normalize_str(every).encode("utf-32-le"), dtype="<u4") == new
+                self.kind[new[~same]] = k
+            if new[0] == 0:
+                self.kind[0] = OTHER  # the mark itself
+            kind = self.kind[points]
+        return kind
+
+    def lower(self, text: str) -> str:
+        new = set(text) - self.lowered
+        if new:
+            self.lowered |= new
+            own = sorted(new - {"\n", "Σ"})
+            for a, b in zip(own, self.lowercase.normalize_str("\n".join(own)).split("\n")):
+                if a.lower() != b:
+                    self.other[ord(a)] = b
+        return text.translate(self.other).lower()
+
 
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    every = "".join(map(chr, points))
-    out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (BLANK, r"\s")):
-        marked = normalizers.Replace(Regex(pattern), "\0").normalize_str(every)
-        same = np.frombuffer(marked.encode("utf-32-le"), dtype="<u4") == points
-        out[np.array(points)[~same]] = kind
-    return out
+@cache
+def characters() -> Characters:
+    return Characters()
 
 
 @cache
@@ -253,25 +291,23 @@ class Transducer:
         return state, count
 
 
-@cache
-def lower_exceptions() -> tuple[re.Pattern, dict[str, str]]:
-    """Characters that the library lower-cases otherwise than Python does."""
-    from tokenizers import normalizers
-
-    points = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
-    lowered = normalizers.Lowercase().normalize_str("\n".join(points)).split("\n")
-    other = {a: b for a, b in zip(points, lowered) if a.lower() != b}
-    return re.compile("[" + "".join(map(re.escape, other)) + "]" if other else "(?!)"), other
-
-
 def normal(text: str) -> str:
     """Composed and lower-cased character by character; blanks need no change, the pattern drops them."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        pattern, other = lower_exceptions()
-        if pattern.search(text):
-            text = "".join(other.get(c, c) for c in text)
-    return text.lower()
+    if text.isascii():
+        return text.lower()
+    return characters().lower(unicodedata.normalize("NFC", text))
+
+
+def parts_of(text: str, limit: int = PART_CHARS):
+    """The text in parts of about ``limit`` characters, cut before blanks, where neither words nor normalisation cross."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _BLANK.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +317,7 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     digits; runs of other characters. A blank stands between texts.
     """
     points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "replace"), dtype="<u4")
-    kind = classes()[points]
+    kind = characters().classes(points)
     first = np.empty(len(points), dtype=bool)
     first[:1] = True
     first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
@@ -311,33 +347,68 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_tokens(machine: Transducer, texts: list[str]) -> np.ndarray:
-    """Tokens of each text: chunks run in step, then their state maps are composed."""
-    if len(machine.states) > STATES:
-        machine.clear()
+    """Tokens of each text."""
     symbols, cut = symbols_of(texts)
-    n_chunks = -(-np.diff(cut) // CHUNK)
-    of = np.repeat(np.arange(len(texts)), n_chunks)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
-    begin = cut[of] + inner * CHUNK
-    end = np.minimum(begin + CHUNK, cut[of + 1])
-    # the map's head: symbols up to the first word end inside the chunk; behind it the state is the start state
-    ends = np.flatnonzero(symbols >= 256) + 1
-    nearest = np.append(ends, len(symbols) + 1)[np.searchsorted(ends, begin, side="right")] if len(begin) else begin
-    head = np.where(inner == 0, begin, np.minimum(nearest, end))
-    settled = (inner == 0) | (nearest <= end)
-    state, count = machine.run(symbols, head, end, np.full(len(of), machine.start, dtype=np.int64))
-    # scan: a chunk without a word end hands on what it gets, so its followers wait for it
-    waiting = np.flatnonzero(inner > 0)
-    ready = settled.copy()
-    while len(waiting):
-        now = waiting[ready[waiting - 1]]
-        after, more = machine.run(symbols, begin[now], head[now], state[now - 1])
-        count[now] += more
-        state[now] = np.where(settled[now], state[now], after)
-        ready[now] = True
-        waiting = np.setdiff1d(waiting, now, assume_unique=True)
-        ready[waiting] &= settled[waiting]
-    return np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
+    total = np.zeros(len(texts), dtype=np.int64)
+    carried = machine.states[machine.start]
+    for a in range(0, len(symbols), WINDOW):
+        b = min(a + WINDOW, len(symbols))
+        if len(machine.states) > STATES:
+            machine.clear()
+        begin = np.unique(np.concatenate([np.arange(a, b, CHUNK), cut[(cut >= a) & (cut < b)]]))
+        of = np.searchsorted(cut, begin, side="right") - 1
+        state, count = count_window(machine, symbols, begin, np.append(begin[1:], b), begin == cut[of], machine.number(carried))
+        total += np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
+        carried = machine.states[state]
+    return total
+
+
+def count_window(machine: Transducer, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, fresh: np.ndarray, carried: int) -> tuple[int, np.ndarray]:
+    """The state behind the last chunk and the tokens of each; ``fresh`` chunks begin a text, ``carried`` is the state before the first."""
+    n, start = len(begin), machine.start
+    # a map has a head, up to the first word end, that depends on the state before it, and a tail that begins in the start state
+    ends = np.flatnonzero(symbols[begin[0] : end[-1]] >= 256) + begin[0] + 1
+    nearest = np.append(ends, np.iinfo(np.int64).max)[np.searchsorted(ends, begin, side="right")]
+    settled = nearest <= end
+    head = np.where(settled, nearest, end)
+    after, tail = machine.run(symbols, head, end, np.full(n, start, dtype=np.int64))
+    # the state before a chunk, known or guessed
+    known = fresh.copy()
+    known[0] = True
+    known[1:] |= settled[:-1]
+    before = np.full(n, start, dtype=np.int64)
+    before[1:] = np.where(settled[:-1], after[:-1], start)
+    before[fresh] = start
+    if not fresh[0]:
+        before[0] = carried
+    guessed = np.flatnonzero(~known)
+    if len(guessed):
+        before[guessed] = machine.run(symbols, np.maximum(begin[guessed] - AHEAD, begin[0]), begin[guessed], np.full(len(guessed), start, dtype=np.int64))[0]
+    behind, count = machine.run(symbols, begin, head, before)
+    count = count + tail
+    behind = np.where(settled, after, behind)
+    if not len(guessed):
+        return int(behind[-1]), count
+    # maps of the chunks in long words: state before -> (state behind, tokens)
+    maps = {i: {int(before[i]): (int(behind[i]), int(count[i]))} for i in {*guessed.tolist(), *(guessed - 1).tolist()}}
+
+    def extend(wanted: list[tuple[int, int]]) -> None:
+        lane, first = (np.array(x) for x in zip(*wanted))
+        to, more = machine.run(symbols, begin[lane], head[lane], first)
+        for i, s, t, c in zip(lane.tolist(), first.tolist(), to.tolist(), more.tolist()):
+            maps[i][s] = (int(after[i]) if settled[i] else t, c + int(tail[i]))
+
+    for _ in range(ROUNDS):
+        wanted = [(i, s) for i in guessed.tolist() for s in {t for t, _ in maps[i - 1].values()} - maps[i].keys()]
+        if not wanted:
+            break
+        extend(wanted)
+    for i in guessed.tolist():  # ascending: the chunk before is final
+        s = int(behind[i - 1])
+        if s not in maps[i]:
+            extend([(i, s)])
+        behind[i], count[i] = maps[i][s]
+    return int(behind[-1]), count
 
 
 @cache
@@ -355,8 +426,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the vocabulary's own library, without added tokens; a special
-    string in a text is one token. Null counts as empty: 0 bytes, 0 tokens; texts of any
-    length run in chunks; repeated rows are counted alike; a null id is kept; an empty
+    string in a text is one token. Null counts as empty: 0 bytes, 0 tokens; long texts and
+    long words are taken up piece by piece; repeated rows are counted alike; a null id is kept; an empty
     table gives no rows; further columns are ignored. No shuffle.
     """
     vocabulary = vocabulary or default_vocabulary()
@@ -367,17 +438,28 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
         for part in blocks(batches):
             texts = strings(part.column(1))
             size = np.fromiter((len(t.encode("utf-8", "replace")) for t in texts), dtype=np.int64, count=len(texts))
-            extra = np.zeros(len(texts), dtype=np.int64)
-            pieces, owner = [], []
+            tokens = np.zeros(len(texts), dtype=np.int64)
+            pieces, owner, held = [], [], 0
+
+            def flush():
+                nonlocal pieces, owner, held
+                tokens[:] += np.bincount(owner, weights=count_tokens(machine, pieces), minlength=len(texts)).astype(np.int64)
+                pieces, owner, held = [], [], 0
+
             for i, text in enumerate(texts):
                 own = [text]
                 if "<|" in text:
                     for mark in special:
-                        extra[i] += sum(x.count(mark) for x in own)
+                        tokens[i] += sum(x.count(mark) for x in own)
                         own = [y for x in own for y in x.split(mark)]
-                pieces += map(normal, own)
-                owner += [i] * len(own)
-            tokens = np.bincount(owner, weights=count_tokens(machine, pieces), minlength=len(texts)).astype(np.int64) + extra
+                for piece in (p for x in own for p in parts_of(x)):
+                    pieces.append(normal(piece))
+                    owner.append(i)
+                    held += len(piece)
+                    if held > PART_CHARS:
+                        flush()
+            if pieces:
+                flush()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

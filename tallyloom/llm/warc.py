@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, scratch_path
+from .common import blocks, discard, materialise, scratch_path
 
 #: Code points of payload in a record; longer payloads take several.
 SEGMENT_CHARS = 1 << 16
@@ -41,30 +41,19 @@ def chunks(text: str, size: int):
         yield text[at : at + size].encode("utf-8", "replace")
 
 
-def digests(pages: DataFrame, segment: int) -> DataFrame:
-    """page_id, payload_bytes and a strong digest, hashed piece by piece."""
+def payload_key():
+    """What names a payload: a strong digest of its bytes."""
+    return F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
 
-    def run(batches):
-        for part in blocks(batches):
-            sizes, strong = [], []
-            for html in part.column(1).to_pylist():
-                h, n = hashlib.sha256(), 0
-                for piece in chunks(html or "", segment):
-                    h.update(piece)
-                    n += len(piece)
-                sizes.append(n)
-                strong.append(h.digest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(strong, pa.binary())], ["page_id", "payload_bytes", "strong"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, payload_bytes long, strong binary")
-
-
-def revisits(pages: DataFrame, least_bytes: int, segment: int) -> DataFrame:
-    """page_id and first: pages whose payload another page with a smaller id has, too."""
-    known = materialise(digests(pages, segment).where(F.col("payload_bytes") >= least_bytes), "warc-digests")
+
+def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, strong and first: the rows whose payload a page with a smaller id has, too."""
+    known = pages.select("page_id", payload_key().alias("strong"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")).where(F.col("n") >= least_bytes)
+    known = materialise(known.select("page_id", "strong"), "warc-digests")
     firsts = materialise(known.groupBy("strong").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("strong", "first"), "warc-firsts")
-    return materialise(known.join(firsts, "strong").where("page_id > first").select("page_id", "first").distinct(), "warc-revisits")
+    found = materialise(known.join(firsts, "strong").where("page_id > first").select("page_id", "strong", "first").distinct(), "warc-revisits")
+    discard(known, firsts)
+    return found
 
 
 def records(page_id, url: str, html: str, first, token: str, segment: int):
@@ -107,10 +96,9 @@ def records(page_id, url: str, html: str, first, token: str, segment: int):
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT_CHARS, compression: str = "none") -> str:
     """Write ``pages`` (page_id, url, html) as WARC files below ``path``; returns the archive's token."""
     token = uuid.uuid4().hex
-    known = revisits(pages, least_bytes, segment)
-    if known.count() <= BROADCAST_REVISITS:
-        known = F.broadcast(known)
-    rows = pages.select("page_id", "html", "url").join(known, "page_id", "left")
+    written = revisits(pages, least_bytes)
+    known = F.broadcast(written) if written.count() <= BROADCAST_REVISITS else written
+    rows = pages.select("page_id", "html", "url", payload_key().alias("strong")).join(known, ["page_id", "strong"], "left").select("page_id", "html", "url", "first")
 
     def run(batches):
         for part in blocks(batches):
@@ -125,6 +113,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, segment: in
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     rows.mapInArrow(run, "value string").write.option("lineSep", EOL).option("compression", compression).text(path)
+    discard(written)
     return token
 
 
@@ -216,8 +205,9 @@ def warc(pages: DataFrame, least_bytes: int = 0, segment: int = SEGMENT_CHARS, p
     """Write the archives, then one row per page from reading them: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Of equal payloads of ``least_bytes`` or more the smallest page_id holds the response;
-    the others revisit it. Null html is an empty payload; a repeated row is a record of
-    its own; rows without a page_id are responses without one; an empty table gives no
+    the others revisit it. Null html is an empty payload; each row is a record of its own,
+    repeated ones and those that share a page_id with another payload too; rows without a
+    page_id are responses without one; a null url is about:blank; an empty table gives no
     rows; further columns are ignored.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
