@@ -7,16 +7,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import shell
+
 CATEGORIES = ("spec", "plan", "research", "code", "tests", "git", "grep", "web", "agents", "prompt", "compaction", "overhead", "interrupted", "other")
 
 # Patterns of command heads, in the order in which they are tried, and the order in which a turn's findings win.
 COMMANDS = (
-    ("agents", r"(?:^|\s)claude(?:\s+-|\s*\||\s*$)"),
+    ("agents", shell.SPAWN),
     ("spec", r"^gh\s+issue\s+(?:view|comment|create|edit|reopen|develop)(?:\s|$)"),
     ("grep", r"^gh\s+(?:api\s+graphql|search)(?:\s|$)"),
-    ("git", r"^(?:git|gh|tig|hub|glab)(?:\s|$)"),
-    ("tests", r"^(?:(?:bun|npm|pnpm|yarn|deno)\s+(?:run\s+)?test\b|(?:pytest|jest|vitest|mocha|ava|tap|cypress|playwright|ctest)\b|(?:go|cargo)\s+test\b)"),
-    ("code", r"^(?:(?:bun|npm|pnpm|yarn|deno)\s+run\s+(?:build|typecheck|lint|check|compile|bundle)\b|(?:tsc|esbuild|webpack|vite|rollup|make|cmake|ninja|gcc|eslint|prettier|ruff|black)\b|(?:go|cargo)\s+(?:build|install)\b)"),
+    ("git", r"^(?:git|gh|tig|hub|glab|pr-(?:open|submit|ready|watch|threads|cleanup|merge|reject|review|verdict|guard)|git-(?:checkpoint|overview|snap)|wt-new|repo-gate)(?:\s|$)"),
+    ("tests", r"^(?:(?:bun|npm|pnpm|yarn|deno)\s+(?:run\s+)?test\b|(?:bun|npx)\s+\S*tests?/|(?:pytest|jest|vitest|mocha|ava|tap|cypress|playwright|ctest)\b|(?:go|cargo)\s+test\b"
+              r"|(?:bash|sh|zsh)\s+\S*tests?/|\.?/?tests?/\S+\.(?:sh|ts|js|mjs|py)\b)"),
+    ("code", r"^(?:(?:bun|npm|pnpm|yarn|deno)\s+run\s+(?:build|typecheck|lint|check|compile|bundle)\b|bun\s+build\S*"
+             r"|(?:tsc|esbuild|webpack|vite|rollup|make|cmake|ninja|gcc|g\+\+|clang|eslint|prettier|ruff|black|clippy|shellcheck)\b|(?:go|cargo)\s+(?:build|install)\b)"),
     ("grep", r"^(?:grep|rg|ripgrep|find|fd|ag|ack)(?:\s|$)"),
 )
 COMMAND_ORDER = ("agents", "spec", "git", "tests", "code", "grep")
@@ -31,6 +35,9 @@ TOOLS = {
     "todowrite": "plan", "todo_write": "plan", "taskcreate": "plan", "taskupdate": "plan", "taskget": "plan", "tasklist": "plan", "askuserquestion": "plan", "ask": "plan",
     "enterplanmode": "plan", "exitplanmode": "plan", "skill": "plan", "toolsearch": "plan", "sendfeedback": "plan",
 }
+# Tools that are calls but no work, and names of outside tools that search or fetch.
+IDLE_TOOLS = ("change_working_directory", "cd", "pwd", "lsdir", "listmcpresourcestool")
+OUTSIDE_WEB = r"^mcp__.*?__(?:.*_)?(?:web_)?(?:search|fetch|browse|crawl)(?:_|$)"
 SUFFIXES = r"(?i)\.(ts|js|mjs|json|jsonl|css|tsx|jsx|py|rs|go|sh|yml|yaml|sql|txt)$"
 
 
@@ -40,6 +47,17 @@ def command_class(command: Column) -> Column:
     return F.coalesce(*[F.when(head.rlike(p), F.lit(c)) for c, p in COMMANDS])
 
 
+def tool_class(name: Column) -> Column:
+    """Category of a tool by its lower-case name, null if it has none."""
+    kinds = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])
+    return F.coalesce(F.try_element_at(kinds, name), F.when(name.rlike(OUTSIDE_WEB), F.lit("web")))
+
+
+def tool_known(name: Column) -> Column:
+    """Whether a tool has a category or is known to be no work."""
+    return tool_class(name).isNotNull() | name.isin(*IDLE_TOOLS)
+
+
 def path_class(path: Column) -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     below = lambda *dirs: reduce(lambda a, b: a | b, [F.startswith(p, F.lit(f"{d}/")) | F.contains(p, F.lit(f"/{d}/")) for d in dirs])
@@ -66,9 +84,20 @@ def files_class(files: Column) -> Column:
     return F.coalesce(first_of(FILE_ORDER, by("write")), first_of(FILE_ORDER, by("read")))
 
 
+def commands_class(commands: Column) -> Column:
+    """Category of a turn's commands as given: of their real commands the first in COMMAND_ORDER, other without a family, null if none does work."""
+    real = shell.all_real_commands(commands)
+    return F.coalesce(first_of(COMMAND_ORDER, F.transform(real, command_class)), F.when(F.size(real) > 0, F.lit("other")))
+
+
 def turn_class(interrupted: Column, files: Column, tools: Column, commands: Column, has_text: Column, unknown_tool: Column) -> Column:
-    """Category of a turn; ``commands`` are its real commands, ``tools`` its tools' categories."""
+    """Category of a turn; ``commands`` are as given to the shell, ``tools`` its tools' categories."""
     return F.coalesce(
-        F.when(interrupted, F.lit("interrupted")), files_class(files), first_of(TOOL_ORDER, tools),
-        first_of(COMMAND_ORDER, F.transform(commands, command_class)), F.when(F.size(commands) > 0, F.lit("other")),
+        F.when(interrupted, F.lit("interrupted")), files_class(files), first_of(TOOL_ORDER, tools), commands_class(commands),
         F.when(has_text & ~unknown_tool, F.lit("prompt")), F.lit("other"))
+
+
+def decided_by(interrupted: Column, files: Column, tools: Column, commands: Column, has_text: Column, unknown_tool: Column) -> Column:
+    """Which input decided a turn's category."""
+    return (F.when(interrupted, "interrupt").when(files_class(files).isNotNull(), "files").when(first_of(TOOL_ORDER, tools).isNotNull(), "tools")
+            .when(commands_class(commands).isNotNull(), "commands").when(has_text & ~unknown_tool, "text").otherwise("nothing"))

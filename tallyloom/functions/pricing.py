@@ -60,6 +60,7 @@ SIZE_TIERS = {
     "gpt-5.6-terra": ((LONG_INPUT, 5.00, 22.50, 0.50, 6.25),),
     "gpt-5.6-luna": ((LONG_INPUT, 2.50, 11.25, 0.25, 3.13),),
 }
+SERVER_TOOL = 0.03  # dollars a web search or fetch
 PEAK = ("deepseek-v4-flash-vision-exp", "deepseek-v4-flash", "deepseek-v4-pro", "deepseek-flash")
 UNTAGGED = ("", "(unknown)", "<synthetic>")
 
@@ -88,6 +89,66 @@ def resolve_models(models: DataFrame, cards: DataFrame) -> DataFrame:
     return found.groupBy("model").agg(best.alias("c")).select("model", "c.*")
 
 
+def sibling(model: Column) -> Column:
+    """The card that an id of this family without one borrows its rates and peaks from."""
+    low = F.lower(model)
+    return F.when(F.contains(low, F.lit("deepseek")), F.when(F.contains(low, F.lit("v4-pro")), F.lit("deepseek-v4-pro")).otherwise(F.lit("deepseek-v4-flash")))
+
+
+def with_siblings(models: DataFrame, found: DataFrame, cards: DataFrame) -> DataFrame:
+    """``found`` and, for models without a card, the sibling's rates with a null card."""
+    bare = models.select("model").distinct().where(sibling(F.col("model")).isNotNull()).join(found, "model", "left_anti")
+    rates = cards.select(F.col("card").alias("lent"), "base", "dates", "sizes", "peak")
+    lent = bare.withColumn("lent", sibling(F.col("model"))).join(F.broadcast(rates), "lent")
+    return found.unionByName(lent.select("model", F.lit(None).cast("string").alias("card"), "base", "dates", "sizes", "peak"))
+
+
+def server_tool_ticks(model: Column, requests: Column) -> Column:
+    """Charge of web searches and fetches, for the one family that bills them."""
+    low = F.lower(model)
+    billed = (F.contains(low, F.lit("claude")) | F.contains(low, F.lit("anthropic"))) & ~F.contains(low, F.lit("deepseek"))
+    return F.when(billed, requests * ticks(SERVER_TOOL * 1_000_000)).otherwise(0).cast("bigint")
+
+
+def is_priced(card: Column, model: Column) -> Column:
+    """Whether a model has a card or a family's known rates; borrowed ones do not count."""
+    low = F.lower(F.coalesce(model, F.lit("")))
+    return card.isNotNull() | (~F.contains(low, F.lit("deepseek")) & (F.contains(low, F.lit("haiku")) | F.contains(low, F.lit("opus"))))
+
+
+def fallback_note(model: Column) -> Column:
+    """How a model without a card is priced."""
+    return F.coalesce(F.concat(F.lit("guessing with the "), sibling(model), F.lit(" rate card (surge multiplier applied)")), F.lit("using default $3/$15 rates"))
+
+
+def valid_cards(rows: DataFrame) -> DataFrame:
+    """Users' cards (card, i, o, r, w as doubles) whose rates are all finite and not negative."""
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c < float("inf"))
+    return rows.where(fine(F.col("i")) & fine(F.col("o")) & fine(F.col("r")) & fine(F.col("w")))
+
+
+def cards_with(cards: DataFrame, own: DataFrame) -> DataFrame:
+    """Built-in ``cards`` with users' valid cards over them; a user's card keeps the peaks of the one it replaces, not its tiers."""
+    rate = lambda c: F.round(F.col(c) * (TICKS // 1_000_000)).cast("bigint").alias(c)
+    mine = valid_cards(own).select("card", F.struct(*[rate(c) for c in "iorw"]).alias("base"))
+    peaks = cards.select("card", F.col("ord").alias("o"), F.col("peak").alias("p"))
+    none = F.array().cast(cards.schema["dates"].dataType)
+    put = mine.join(F.broadcast(peaks), "card", "left").select(
+        F.coalesce("o", F.lit(1 << 20)).cast("int").alias("ord"), "card", "base", none.alias("dates"), none.alias("sizes"), F.coalesce("p", F.lit(False)).alias("peak"))
+    return cards.join(F.broadcast(mine.select("card")), "card", "left_anti").select("ord", "card", "base", "dates", "sizes", "peak").unionByName(put)
+
+
+def mismatches(priced: DataFrame, other: str, worst: int = 5) -> DataFrame:
+    """Turns whose cost differs from column ``other``, the ``worst`` of them by difference."""
+    away = F.abs(F.col("cost_ticks") - F.col(other))
+    return priced.withColumn("away", away).where("away > 10").orderBy(F.desc("away"), "session_id", "seq").limit(worst)
+
+
+def fall_through(turns: DataFrame) -> DataFrame:
+    """Per model: turns, those without a cost of their own, and their share in percent."""
+    bare = F.count_if(F.coalesce("native_usd", F.lit(0.0)) == 0)
+    return turns.groupBy("model").agg(F.count(F.lit(1)).alias("turns"), bare.alias("priced_here")).withColumn("percent", F.round(100 * F.col("priced_here") / F.col("turns"), 3))
+
 def peak_factor(peak: Column, ts_ms: Column) -> Column:
     """2 inside the UTC peak windows, off on weekends from an instant on; unknown times are off-peak."""
     minute = F.floor(ts_ms / 60_000) % 1440
@@ -113,18 +174,18 @@ def price(turns: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """``turns`` with cost_ticks, write_ticks (the share of cache writes), priced and peak_priced.
 
     Without a card, names with haiku or opus take those families' rates, others 3 / 15
-    dollars, and cache writes 1.25 and 2 times the input rate. Models are resolved once
-    each and joined back; rows without a model cost nothing.
+    dollars, and cache writes 1.25 and 2 times the input rate; one family's ids borrow a
+    sibling's card. Models are resolved once each and joined back; rows without a model cost nothing.
     """
     cards = cards if cards is not None else rate_cards(turns.sparkSession)
-    joined = turns.join(resolve_models(turns, cards), "model", "left")
+    joined = turns.join(with_siblings(turns, resolve_models(turns, cards), cards), "model", "left")
     one = F.coalesce("cw1h_tok", F.lit(0))
     rest = F.greatest(F.col("cw_tok") - one, F.lit(0))
     total = F.col("in_tok") + F.col("cr_tok") + F.col("cw_tok")
     low = F.lower("model")
     family = lambda c: F.struct(*[F.lit(ticks(x)).cast("bigint").alias(k) for k, x in zip("iorw", c)])
     legacy = F.when(F.contains(low, F.lit("haiku")), family((1, 5, 0.1, 1.25))).when(F.contains(low, F.lit("opus")), family((5, 25, 0.5, 6.25))).otherwise(family((3, 15, 0.3, 3.75)))
-    rates = F.when(F.col("card").isNotNull(), rates_in_force(F.col("base"), F.col("dates"), F.col("sizes"), F.col("ts_ms"), total)).otherwise(legacy)
+    rates = F.when(F.col("base").isNotNull(), rates_in_force(F.col("base"), F.col("dates"), F.col("sizes"), F.col("ts_ms"), total)).otherwise(legacy)
     out = joined.withColumn("rates", rates).withColumn("factor", peak_factor(F.col("peak"), F.col("ts_ms")))
     hour = F.when(F.col("rates.w") == 0, F.lit(0)).otherwise(2 * F.col("rates.i"))
     write = rest * F.col("rates.w") + one * hour
@@ -133,7 +194,7 @@ def price(turns: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     return out.withColumns({
         "write_ticks": F.when(has, write).otherwise(0).cast("bigint"),
         "cost_ticks": F.when(has, read + write).otherwise(0).cast("bigint"),
-        "priced": F.col("card").isNotNull(), "peak_priced": F.col("factor") > 1,
+        "priced": F.col("card").isNotNull(), "known_rates": is_priced(F.col("card"), F.col("model")), "peak_priced": F.col("factor") > 1,
     }).drop("card", "base", "dates", "sizes", "peak", "rates", "factor", "ord")
 
 

@@ -34,6 +34,14 @@ def carry(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.last(value, ignorenulls=True).over(in_session().rowsBetween(Window.unboundedPreceding, -1)))
 
 
+def stamped_back(rows: DataFrame, by: tuple[str, ...], order: str, is_turn: str, signal: str, out: str) -> DataFrame:
+    """Turns, marked where a signal stands between them and the next turn; signals before the first turn mark nothing."""
+    nth = F.count_if(F.col(is_turn)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.withColumn("_nth", nth)
+    stamped = F.coalesce(F.max(signal).over(Window.partitionBy(*by, "_nth")), F.lit(False))
+    return numbered.withColumn(out, stamped).where(is_turn).drop("_nth")
+
+
 def split_overhead(turns: DataFrame) -> DataFrame:
     """Rows that re-cache their context become two: the work, and its cache writes as compaction or overhead."""
     context = F.col("in_tok") + F.col("cr_tok") + F.col("cw_tok")

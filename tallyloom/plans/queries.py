@@ -86,9 +86,13 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Registers a query with its SQL; None where SQL cannot express it."""
+
     def add(f):
         QUERIES[f.__name__] = f
+        if sql is None:
+            return f
         ORACLE_SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {T} {sql}"
         return f
     return add

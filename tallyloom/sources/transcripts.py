@@ -12,11 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, pricing
+from ..functions import classify, pricing, shell
 
 # How an interrupt is marked in a user's line; dollars a web search or fetch.
 INTERRUPT = "[Request interrupted by user"
 SERVER_TOOL = 0.03
+# Folders of derived data beside transcripts. Children's folders are read where they are asked for.
+DERIVED = ("tool-results", "memory")
 
 _ARGS = "command:string,file_path:string,path:string,directory:string,target:string,notebook_path:string"
 _USAGE = (
@@ -59,10 +61,17 @@ def adapters() -> tuple[Adapter, ...]:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of every non-blank line below ``path``, in the order of the files."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED) -> DataFrame:
+    """file, line_no, line of every non-blank line below ``path``, numbered in the order of the files.
+
+    Files are read in splits, a line a row; a line's number is its rank by the split's
+    place and its place in the split, so no file is held whole. Folders of derived data are skipped.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = rows.where(~F.col("file").rlike("/(?:" + "|".join(skip) + ")/")) if skip else rows
+    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
+    return rows.select("file", number.alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def _ms(c: Column) -> Column:
@@ -115,9 +124,8 @@ def turns(lines: DataFrame) -> DataFrame:
     files = F.filter(F.transform(tools, lambda b: F.struct(path(b).alias("path"), action(b).alias("action"))), lambda f: f["path"].isNotNull() & f["action"].isNotNull())
     commands = F.filter(F.transform(tools, lambda b: F.when(tool(b).isin("bash", "run"), args(b)["command"])), lambda c: c.isNotNull())
     handled = ("read", "view", "glob", "ls", "edit", "write", "replace", "notebookedit", "bash", "run")
-    kinds = F.create_map(*[F.lit(x) for kv in classify.TOOLS.items() for x in kv])
     others = F.filter(tools, lambda b: ~tool(b).isin(*handled))
-    cats = F.filter(F.transform(others, lambda b: kinds[tool(b)]), lambda c: c.isNotNull())
+    cats = F.filter(F.transform(others, lambda b: classify.tool_class(tool(b))), lambda c: c.isNotNull())
     use = F.col("e.message.usage")
     model = F.coalesce("e.message.model", "model_before")
     searches = F.coalesce(use["server_tool_use"]["web_search_requests"], F.lit(0)) + F.coalesce(use["server_tool_use"]["web_fetch_requests"], F.lit(0))
@@ -127,10 +135,10 @@ def turns(lines: DataFrame) -> DataFrame:
         F.coalesce(use["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0)).alias("cw1h_tok"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
         "interrupted", F.coalesce("after_compaction", F.lit(False)).alias("after_compaction"),
         F.size(F.when(F.startswith(F.ltrim(use["iterations"]), F.lit("[")), F.from_json(use["iterations"], "array<string>"))).alias("iterations"), "native_usd",
-        files.alias("files"), commands.alias("commands"), cats.alias("tool_cats"),
+        F.concat(files, shell.all_files(commands)).alias("files"), commands.alias("commands"), cats.alias("tool_cats"),
         F.exists(F.coalesce("blocks", F.array()), lambda b: b["type"].isin("text", "thinking")).alias("has_text"),
-        F.exists(others, lambda b: kinds[tool(b)].isNull()).alias("unknown_tool"),
-        F.when(F.contains(F.lower(model), F.lit("claude")), searches * pricing.ticks(SERVER_TOOL * 1_000_000)).otherwise(0).cast("bigint").alias("server_ticks"))
+        F.exists(others, lambda b: ~classify.tool_known(tool(b))).alias("unknown_tool"),
+        pricing.server_tool_ticks(model, searches).alias("server_ticks"))
     cost = F.when(F.col("native_usd").isNotNull() & ~((F.col("native_usd") == 0) & (F.col("in_tok") + F.col("out_tok") + F.col("cr_tok") + F.col("cw_tok") + F.col("rs_tok") > 0)),
                   F.round(F.col("native_usd") * pricing.TICKS).cast("bigint")).otherwise(F.col("cost_ticks"))
     kind = classify.turn_class(F.col("interrupted"), F.col("files"), F.col("tool_cats"), F.col("commands"), F.col("has_text"), F.col("unknown_tool"))

@@ -68,3 +68,27 @@ def test_iterations_are_counted(spark, tmp_path):
     assert {r["message_id"]: r["iterations"] for r in rows.collect()} == {"first": None, "none": None, "one": 1, "two": 2, "empty": 0, "odd": None}
     split = {r["message_id"] for r in ops.split_overhead(ops.previous_context(rows)).collect()}
     assert {x for x in split if x.endswith("#oh")} == {"none#oh", "one#oh", "empty#oh", "odd#oh"} and "two" in split
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    lines = [json.dumps({"type": "x", "timestamp": T0, "n": i, "pad": "p" * (i % 700)}) for i in range(3000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines[:10] + ["", "  "] + lines[10:]))
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[:50]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = transcripts.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a", 3000), ("b", 50)):
+        own = sorted((r["line_no"], r["line"]) for r in rows if r["file"].endswith(f"{name}.jsonl"))
+        assert [x for _, x in own] == lines[:n]
+        assert [i for i, _ in own] == ([*range(10), *range(12, 3002)] if name == "a" else list(range(50)))
+
+
+def test_commands_decide_files_and_category(spark, tmp_path):
+    lines = [answer("a", [tool("Bash", command="cd x && sed -i 's/a/b/' src/main.ts")]), answer("b", [tool("Bash", command="FOO=1 gh issue view 3")]), answer("c", [tool("mcp__box__web_search")]),
+             answer("d", [{"type": "text", "text": "hi"}, tool("Bash", command="cd /somewhere")]), answer("e", [tool("Bash", command="echo hi")])]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = {r["message_id"]: (r["category"], [tuple(f) for f in r["files"]]) for r in transcripts.turns(transcripts.read_lines(spark, str(tmp_path))).collect()}
+    assert got == {"a": ("code", [("src/main.ts", "write")]), "b": ("spec", []), "c": ("web", []), "d": ("prompt", []), "e": ("other", [])}
