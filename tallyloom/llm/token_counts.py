@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from .common import blocks, strings
 
 #: Symbols in a chunk, and before it that a guess of its first state is made from.
-CHUNK, AHEAD = 512, 64
+CHUNK, AHEAD = 64, 64
 #: Symbols that are run together; states are carried from one such window to the next.
 WINDOW = 1 << 18
 #: Rounds in which maps gain the states that the maps before them end in; what then still lacks is run on the way.
 ROUNDS = 4
 #: States after which the table is emptied between windows and compiled anew, which bounds its memory.
 STATES = 150_000
-#: Characters of a text that are normalised and cut into words at once.
-PART_CHARS = 1 << 17
+#: Characters of a text that are normalised at once, and of all texts that are cut into words and counted at once.
+PART_CHARS, BATCH_CHARS = 1 << 17, 1 << 19
 LIMIT = 2048
 _BLANK = re.compile(r"[ \t\n\r]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +54,7 @@ class Characters:
         self.patterns = [(k, normalizers.Replace(Regex(p), "\0")) for k, p in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (BLANK, r"\s"))]
         self.lowercase = normalizers.Lowercase()
         self.lowered: set[str] = set()  # characters that were asked for
-        self.other: dict[int, str] = {ord("Σ"): "σ"}  # lower-cased otherwise than Python does
+        self.other: dict[str, str] = {"Σ": "σ"}  # lower-cased otherwise than Python does
 
     def classes(self, points: np.ndarray) -> np.ndarray:
         kind = self.kind[points]
@@ -71,14 +71,17 @@ class Characters:
         return kind
 
     def lower(self, text: str) -> str:
-        new = set(text) - self.lowered
+        own = set(text)
+        new = own - self.lowered
         if new:
             self.lowered |= new
-            own = sorted(new - {"\n", "Σ"})
-            for a, b in zip(own, self.lowercase.normalize_str("\n".join(own)).split("\n")):
+            ask = sorted(new - {"\n", "Σ"})
+            for a, b in zip(ask, self.lowercase.normalize_str("\n".join(ask)).split("\n")):
                 if a.lower() != b:
-                    self.other[ord(a)] = b
-        return text.translate(self.other).lower()
+                    self.other[a] = b
+        if not own.isdisjoint(self.other):
+            text = text.translate({ord(a): b for a, b in self.other.items()})
+        return text.lower()
 
 
 @cache
@@ -435,7 +438,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     def run(batches):
         machine = machine_for(vocabulary)
         special = machine.vocabulary.special
-        for part in blocks(batches):
+        for part in blocks(batches, limit=BATCH_CHARS):
             texts = strings(part.column(1))
             size = np.fromiter((len(t.encode("utf-8", "replace")) for t in texts), dtype=np.int64, count=len(texts))
             tokens = np.zeros(len(texts), dtype=np.int64)
@@ -456,7 +459,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
                     pieces.append(normal(piece))
                     owner.append(i)
                     held += len(piece)
-                    if held > PART_CHARS:
+                    if held > BATCH_CHARS:
                         flush()
             if pieces:
                 flush()
