@@ -105,8 +105,9 @@ def labelled_findings(spark: SparkSession, words: list[str], each: int = 60, see
     syllables = ["the", "er", "in", "on", "tion", "ing", "and", "re", "es", "cion", "eaux", "lich", "keit", "ung", "que", "ment", "sch", "ra", "do", "le", "ver", "ti", "st", "ou"]
     some = words or syllables
     word = lambda k=2: "".join(r.choice(r.choice((some, syllables))) for _ in range(k))
+    plain = lambda k: "".join(r.choice(syllables) for _ in range(k))
     signs = "!@#$%^&*"
-    text = lambda: " ".join(word(r.randint(1, 3)) for _ in range(r.randint(2, 6)))
+    text = lambda: " ".join(word(1) for _ in range(r.randint(2, 6)))  # noqa: E731  (no word long enough to be a candidate)
     names = ["token", "secret", "password", "passwd", "api_key", "access_key", "auth_token", "client_secret", "credential", "private_key"]
     sign = lambda: r.choice(["=", " = ", ": ", ":"])
     quote = lambda x: r.choice(["{}", '"{}"', "'{}'"]).format(x)
@@ -123,6 +124,9 @@ def labelled_findings(spark: SparkSession, words: list[str], each: int = 60, see
         lambda: "Authorization: Bearer " + pick(lower + upper + digits + "-_", r.randint(24, 60)),
     ]
     false = [
+        lambda: plain(r.randint(6, 10)),
+        lambda: plain(r.randint(6, 10)).capitalize(),
+        lambda: "".join(r.choice("bcdfghlmnprstvw") + r.choice(("a", "e", "i", "o", "u", "on", "er", "st")) for _ in range(r.randint(7, 10))),
         lambda: word(r.randint(6, 9)),
         lambda: word(r.randint(6, 9)).capitalize(),
         lambda: "_".join(word() for _ in range(4)) + "_" + word(),
