@@ -43,8 +43,7 @@ SUFFIXES = r"(?i)\.(ts|js|mjs|json|jsonl|css|tsx|jsx|py|rs|go|sh|yml|yaml|sql|tx
 
 def command_class(command: Column) -> Column:
     """The first fitting family of a command's first line, null if none fits."""
-    head = F.lower(F.substring_index(command, "\n", 1))
-    return F.coalesce(*[F.when(head.rlike(p), F.lit(c)) for c, p in COMMANDS])
+    return shell.bound(F.lower(F.substring_index(command, "\n", 1)), lambda head: F.coalesce(*[F.when(head.rlike(p), F.lit(c)) for c, p in COMMANDS]))
 
 
 def tool_class(name: Column) -> Column:
@@ -75,7 +74,7 @@ def path_class(path: Column) -> Column:
 
 def first_of(order, found: Column) -> Column:
     """The first category of ``order`` among an array of them."""
-    return F.coalesce(*[F.when(F.array_contains(found, c), F.lit(c)) for c in order])
+    return shell.bound(found, lambda known: F.coalesce(*[F.when(F.array_contains(known, c), F.lit(c)) for c in order]))
 
 
 def files_class(files: Column) -> Column:
@@ -86,7 +85,11 @@ def files_class(files: Column) -> Column:
 
 def commands_class(commands: Column) -> Column:
     """Category of a turn's commands as given: of their real commands the first in COMMAND_ORDER, other without a family, null if none does work."""
-    real = shell.all_real_commands(commands)
+    return shell.bound(shell.all_real_commands(commands), real_class)
+
+
+def real_class(real: Column) -> Column:
+    """Category of real commands."""
     return F.coalesce(first_of(COMMAND_ORDER, F.transform(real, command_class)), F.when(F.size(real) > 0, F.lit("other")))
 
 

@@ -54,6 +54,11 @@ WORD = r"""<<<\s*(?:'[^']*'|"[^"]*"|\S+)|<<-?\s*(?:'[^']*'|"[^"]*"|\w+)|\d?(?:>>
 _OPEN, _CLOSE, _MOVED = "\x01", "\x02", "\x03"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there: lambdas work out anew what they name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -62,10 +67,13 @@ def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
+def _clean(command: Column) -> Column:
+    return F.translate(command, _OPEN + _CLOSE + _MOVED, "")
+
+
 def segments(command: Column) -> Column:
     """The commands that a shell would run, as (text, joined_by): operators inside quotes, substitutions and here-documents do not divide."""
-    clean = F.translate(command, _OPEN + _CLOSE + _MOVED, "")
-    tokens = F.regexp_extract_all(F.regexp_replace(clean, HEREDOC, f"$1$5{_MOVED}$4"), F.lit(LEXEME), F.lit(0))
+    tokens = F.regexp_extract_all(F.regexp_replace(_clean(command), HEREDOC, f"$1$5{_MOVED}$4"), F.lit(LEXEME), F.lit(0))
     marked = F.transform(tokens, lambda t: F.when(t.isin(*SEPARATORS), F.concat(F.lit(_OPEN), t, F.lit(_CLOSE))).when(t == "\\\n", " ").when(F.startswith(t, F.lit("#")) | (t == _MOVED), "").otherwise(t))
     parts = F.split(F.concat(F.lit(_CLOSE), F.array_join(marked, "")), _OPEN)
     found = F.transform(parts, lambda p: F.struct(trimmed(F.replace(F.substring_index(p, _CLOSE, -1), F.lit(_MOVED), F.lit(""))).alias("text"), F.substring_index(p, _CLOSE, 1).alias("joined_by")))
@@ -88,8 +96,7 @@ def real_commands(command: Column) -> Column:
     start = F.struct(F.lit(0).alias("loop"), F.lit(0).alias("body"), F.array().cast("array<string>").alias("out"))
 
     def step(at, s):
-        text = s["text"]
-        own = bare(text)
+        text, own = s["text"], s["own"]
         defines, inside = own.rlike(FUNCTION), at["body"] > 0
         loop = at["loop"] + F.when(text.rlike(r"^do(?:\s|$)"), 1).otherwise(0)
         works = (own != "") & ~own.rlike(KEYWORD) & ~own.rlike(NAVIGATION) & ~((loop > 0) & own.rlike(WAIT))
@@ -98,7 +105,8 @@ def real_commands(command: Column) -> Column:
             after.cast("int").alias("loop"), F.when(inside, at["body"] + braces(text)).when(defines, F.greatest(braces(text), F.lit(0))).otherwise(0).cast("int").alias("body"),
             F.when(~inside & ~defines & works, F.concat(at["out"], F.array(own))).otherwise(at["out"]).alias("out"))
 
-    return F.aggregate(segments(command), start, step, lambda at: at["out"])
+    stripped = F.transform(segments(command), lambda s: F.struct(s["text"], bare(s["text"]).alias("own")))
+    return F.aggregate(stripped, start, step, lambda at: at["out"])
 
 
 def all_real_commands(commands: Column) -> Column:
@@ -116,15 +124,15 @@ def unquoted(word: Column) -> Column:
 
 def words(command: Column) -> Column:
     """(word, role) of a command's first line: role is word, write or read; here-documents and descriptors have none."""
-    tokens = F.regexp_extract_all(first_line(command), F.lit(WORD), F.lit(0))
     redirects = lambda t: t.rlike(r"^\d?(?:>>?|<)$")
 
-    def one(t, i):
-        before = F.coalesce(F.get(tokens, i - 1), F.lit(""))
-        role = F.when(redirects(before), F.when(F.contains(before, F.lit(">")), "write").otherwise("read")).otherwise("word")
-        return F.struct(unquoted(t).alias("word"), F.when(~t.rlike(r"^(?:<<|\d?[<>])"), role).alias("role"))
+    def roles(tokens):
+        before = F.concat(F.array(F.lit("")), tokens)
+        role = lambda b: F.when(redirects(b), F.when(F.contains(b, F.lit(">")), "write").otherwise("read")).otherwise("word")
+        one = lambda t, b: F.struct(unquoted(t).alias("word"), F.when(~t.rlike(r"^(?:<<|\d?[<>])"), role(b)).alias("role"))
+        return F.zip_with(tokens, F.slice(before, F.lit(1), F.size(tokens)), one)
 
-    return F.filter(F.transform(tokens, one), lambda w: w["role"].isNotNull())
+    return F.filter(bound(F.regexp_extract_all(first_line(command), F.lit(WORD), F.lit(0)), roles), lambda w: w["role"].isNotNull())
 
 
 def _named(found: Column, role: str) -> Column:
@@ -141,24 +149,29 @@ def _touches(paths: Column, action) -> Column:
 
 def files_of(command: Column) -> Column:
     """(path, action) that one real command touches: redirections, arguments of readers and editors, calls in inline scripts."""
-    found = words(command)
-    written, read = _named(found, "write"), _named(found, "read")
-    edits, reads = command.rlike(EDITOR), command.rlike(READER)
-    flagless = F.filter(F.slice(_named(found, "word"), 2, 1 << 20), lambda w: ~F.startswith(w, F.lit("-")))
-    arguments = F.filter(F.slice(flagless, F.when(command.rlike(PROGRAM_FIRST), 2).otherwise(1), F.lit(1 << 20)), lambda w: ~w.rlike(r"^\d+$") & ~F.array_contains(written, w))
     nothing = F.array().cast("array<struct<path:string,action:string>>")
-    plain = F.concat(
-        _touches(written, "write"),
-        F.when(edits | reads, F.concat(_touches(F.filter(read, lambda p: ~F.array_contains(written, p)), "read"), _touches(arguments, F.when(edits, "write").otherwise("read")))).otherwise(nothing))
+
+    def plain(found):
+        written, read, edits = found["written"], found["read"], found["edits"]
+        flagless = F.filter(F.slice(found["words"], 2, 1 << 20), lambda w: ~F.startswith(w, F.lit("-")))
+        arguments = F.filter(F.slice(flagless, F.when(command.rlike(PROGRAM_FIRST), 2).otherwise(1), F.lit(1 << 20)), lambda w: ~w.rlike(r"^\d+$") & ~F.array_contains(written, w))
+        given = F.concat(_touches(F.filter(read, lambda p: ~F.array_contains(written, p)), "read"), _touches(arguments, F.when(edits, "write").otherwise("read")))
+        return F.concat(_touches(written, "write"), F.when(edits | command.rlike(READER), given).otherwise(nothing))
+
+    named = lambda all_: F.struct(_named(all_, "write").alias("written"), _named(all_, "read").alias("read"), _named(all_, "word").alias("words"), command.rlike(EDITOR).alias("edits"))
     every = lambda patterns: F.concat(*[F.regexp_extract_all(command, F.lit(p), F.lit(1)) for p in patterns])
-    made = every(SCRIPT_WRITES)
-    script = F.concat(_touches(made, "write"), _touches(F.filter(every(SCRIPT_READS), lambda p: ~F.array_contains(made, p)), "read"))
-    return F.when(command.rlike(SCRIPT), script).otherwise(plain)
+    script = bound(every(SCRIPT_WRITES), lambda made: F.concat(_touches(made, "write"), _touches(F.filter(every(SCRIPT_READS), lambda p: ~F.array_contains(made, p)), "read")))
+    return F.when(command.rlike(SCRIPT), script).otherwise(bound(bound(words(command), named), plain))
+
+
+def real_files(real: Column) -> Column:
+    """(path, action) over real commands."""
+    return F.flatten(F.transform(real, files_of))
 
 
 def all_files(commands: Column) -> Column:
     """(path, action) over the real commands of all ``commands``."""
-    return F.flatten(F.transform(all_real_commands(commands), files_of))
+    return real_files(all_real_commands(commands))
 
 
 def spawns_agent(command: Column) -> Column:
@@ -176,21 +189,22 @@ def spawn_directories(command: Column, own: Column) -> Column:
     start = F.struct(F.lit(None).cast("string").alias("at"), F.lit(False).alias("moved"), F.lit(False).alias("kept"), F.array().cast("array<string>").alias("out"))
 
     def step(a, s):
-        head = first_line(bare(s["text"]))
-        low = F.lower(head)
-        spawns = spawns_agent(s["text"])
+        head, spawns = s["head"], s["spawns"]
         target = F.coalesce(*[F.nullif(F.regexp_extract(head, r"""^cd\s+(?:"([^"]*)"|'([^']*)'|([^\s;&|]+))""", i), F.lit("")) for i in (1, 2, 3)])
         home, moves = head.rlike(r"^cd\s*$"), head.rlike(r"^cd\s+\S")
         skipped = moves & (s["joined_by"] == "||") & a["kept"]
         named = moves & ~skipped & target.isNotNull() & ~target.rlike(r"[$`]")
-        place = F.coalesce(a["at"], F.when(~a["moved"] & low.rlike(SPAWN_HEAD), own))
+        place = F.coalesce(a["at"], F.when(~a["moved"] & F.lower(head).rlike(SPAWN_HEAD), own))
         return F.struct(
             F.when(spawns, a["at"]).when(home, F.lit(None)).when(named, target).otherwise(a["at"]).alias("at"),
             F.when(spawns, a["moved"]).otherwise(a["moved"] | home | (moves & ~skipped)).alias("moved"),
             F.when(spawns | home | ~moves, F.lit(False)).otherwise(F.lit(True)).alias("kept"),
             F.when(spawns, F.concat(a["out"], F.array(place))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(segments(command), start, step, lambda a: a["out"])
+    names_agent = lambda text: F.contains(F.lower(text), F.lit("claude"))
+    parts = F.transform(segments(command), lambda s: F.struct(first_line(bare(s["text"])).alias("head"), (names_agent(s["text"]) & spawns_agent(s["text"])).alias("spawns"), s["joined_by"]))
+    # most commands name no agent: they are not taken apart
+    return F.when(~names_agent(_clean(command)), F.array().cast("array<string>")).otherwise(F.aggregate(parts, start, step, lambda a: a["out"]))
 
 
 def all_spawn_directories(commands: Column, own: Column) -> Column:

@@ -45,9 +45,10 @@ def sql_pick(values, e="event_id") -> str:
 @query(f"SELECT event_id, {', '.join(f'{sql_pick([s[i] for s in SHELL])} AS {n}' for i, n in ((1, 'real'), (2, 'files'), (3, 'directories'), (4, 'class')))} FROM t0")
 def shell_commands(spark, sf_dir):
     rows = turns(spark, sf_dir).select("event_id", pick([s[0] for s in SHELL], F.col("event_id")).alias("c"))
-    pairs = F.transform(shell.all_files(F.array("c")), lambda f: F.concat(f["path"], F.lit(":"), f["action"]))
-    return rows.select("event_id", F.array_join(shell.real_commands(F.col("c")), "|").alias("real"), F.array_join(pairs, ",").alias("files"),
-                       F.array_join(shell.all_spawn_directories(F.array("c"), F.lit("/own")), ",").alias("directories"), classify.commands_class(F.array("c")).alias("class"))
+    parts = rows.select("event_id", "c", shell.real_commands(F.col("c")).alias("r"))
+    pairs = F.transform(shell.real_files(F.col("r")), lambda f: F.concat(f["path"], F.lit(":"), f["action"]))
+    return parts.select("event_id", F.array_join("r", "|").alias("real"), F.array_join(pairs, ",").alias("files"),
+                        F.array_join(shell.all_spawn_directories(F.array("c"), F.lit("/own")), ",").alias("directories"), classify.real_class(F.col("r")).alias("class"))
 
 
 TOOL_NAMES = (("task", "agents", True), ("websearch", "web", True), ("mcp__box__web_search", "web", True), ("mcp__box__run", None, False), ("cd", None, True), ("grep", "grep", True),
