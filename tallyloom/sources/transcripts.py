@@ -61,19 +61,30 @@ def adapters() -> tuple[Adapter, ...]:
     )
 
 
-def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED) -> DataFrame:
+def _text(spark: SparkSession, path: str, skip: tuple[str, ...], modified_after: str | None) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
+    text = (reader.option("modifiedAfter", modified_after) if modified_after else reader).text(path).withColumn("file", F.col("_metadata.file_path"))
+    return text.where(~F.col("file").rlike("/(?:" + "|".join(skip) + ")/")) if skip else text
+
+
+def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None) -> DataFrame:
     """file, line_no, line of every non-blank line below ``path``, numbered in the order of the files.
 
     Files are read in splits, a line a row; a line's number is its rank by the split's
-    place and its place in the split, so no file is held whole. Folders of derived data are skipped.
+    place and its place in the split, so no file is held whole. Folders of derived data
+    are skipped, and files not changed after ``modified_after``.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    rows = rows.where(~F.col("file").rlike("/(?:" + "|".join(skip) + ")/")) if skip else rows
+    text = _text(spark, path, skip, modified_after)
+    rows = text.select("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
     return rows.select("file", number.alias("line_no"), "line").where(F.trim("line") != "")
 
 
+def read_files(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None) -> DataFrame:
+    """file: the transcripts that hold a line."""
+    return _text(spark, path, skip, modified_after).select("file").distinct()
+
+
 def _ms(c: Column) -> Column:
     number = c.try_cast("bigint")
     return F.coalesce(number, F.unix_millis(F.try_to_timestamp(c)), F.lit(0))

@@ -1,4 +1,14 @@
-from tallyloom.streaming import ingest
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import turns as turn_ops
+from tallyloom.sources import transcripts
+from tallyloom.streaming import ingest, tail
+
+T0 = "2026-09-20T10:00:00Z"
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -11,3 +21,71 @@ def test_stream_equals_batch(spark, tmp_path):
     rate = ingest.token_rate(src, "10 seconds", "10 seconds").selectExpr("sum(tokens)").first()[0]
     assert rate == 820
     assert ingest.spawn_windows(src, "5 seconds").count() == 2
+
+
+def lines_of_sessions():
+    """Two sessions whose turns, interrupts, compactions and model changes fall on all sides of a micro-batch's border."""
+    say = lambda mid, n, **more: {"type": "assistant", "timestamp": T0, **more, "message": {"role": "assistant", "id": mid, "model": "claude-sonnet-4-6", "content": [], "usage": {"input_tokens": n, "output_tokens": 1}}}
+    stop = {"type": "user", "timestamp": T0, "message": {"role": "user", "content": "[Request interrupted by user]"}}
+    compact = {"type": "user", "isCompactSummary": True, "timestamp": T0, "message": {"role": "user", "content": "s"}}
+    other = lambda mid: {"type": "message", "timestamp": T0, "message": {"role": "assistant", "id": mid, "content": [], "usage": {"input": 4, "output": 1}}}
+    model = {"type": "model_change", "modelId": "claude-haiku-4-5"}
+    return {"a": [stop, compact, say("a1", 10), say("a2", 20, isSidechain=True), stop, stop, say("a3", 30), compact, say("a3", 31), stop], "b": [model, other("b1"), other("b2"), stop, compact, other("b3")]}
+
+
+COLUMNS = ["session_id", "seq", "ts_ms", "message_id", "model", "is_sidechain", "in_tok", "out_tok", "cr_tok", "cw_tok", "rs_tok", "interrupted", "after_compaction", "prev_ctx"]
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_turns_of_a_stream_equal_the_batch(spark, tmp_path, size):
+    rows = [(s, i, json.dumps(e)) for s, es in lines_of_sessions().items() for i, e in enumerate(es)]
+    schema = "file string, line_no int, line string"
+    whole = spark.createDataFrame(rows, schema)
+    want = turn_ops.previous_context(transcripts.turns(whole)).select(*COLUMNS).collect()
+    # every second micro-batch repeats the line before it
+    for n, a in enumerate(range(0, 10, size)):
+        part = [r for r in rows if a - n % 2 <= r[1] < a + size]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = tail.session_turns(tail.flat_entries(stream), idle_ms=None)
+    query = out.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+    query = query.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    facts = spark.read.parquet(str(tmp_path / "out"))
+    got = tail.newest(facts)
+    assert sorted(map(tuple, got.select(*COLUMNS).collect())) == sorted(map(tuple, want))
+    assert [r["seq"] for r in got.where("not settled").orderBy("session_id").collect()] == [8, 5]
+
+
+def test_polls_retract_what_a_file_no_longer_says(spark, tmp_path):
+    logs, table = tmp_path / "logs", str(tmp_path / "table")
+    logs.mkdir()
+    sessions = lines_of_sessions()
+    put = lambda name, es, at: ((logs / f"{name}.jsonl").write_text("\n".join(map(json.dumps, es)) + "\n"), os.utime(logs / f"{name}.jsonl", (at, at)))
+    told = lambda: sorted(r["message_id"] for r in tail.polled(spark, table).collect())
+    put("a", sessions["a"][:4], 1_700_000_000)
+    put("b", sessions["b"][:2], 1_700_000_000)
+    tail.poll(spark, str(logs), table, 1)
+    assert told() == ["a1", "a2", "b1"]
+    put("a", sessions["a"], 1_700_001_000)
+    tail.poll(spark, str(logs), table, 2, "2023-11-14T22:20:00")
+    assert told() == ["a1", "a2", "a3", "a3", "b1"]
+    assert {r["session_id"][-7:] for r in spark.read.parquet(f"{table}/turns/generation=2").collect()} == {"a.jsonl"}
+    put("a", sessions["a"][:2], 1_700_002_000)
+    tail.poll(spark, str(logs), table, 3, "2023-11-14T22:40:00")
+    tail.poll(spark, str(logs), table, 4, "2023-11-14T23:40:00")
+    assert told() == ["b1"]
+
+
+def test_late_rows_fall_behind_the_watermark(spark, tmp_path):
+    schema = "model string, in_tok long, cr_tok long, session_id long, ts timestamp"
+    batches = [("m", 1, 0, 1, "2026-01-01 00:00:05"), ("m", 2, 0, 1, "2026-01-01 00:01:00"), ("m", 4, 0, 1, "2026-01-01 00:00:50"), ("m", 8, 0, 1, "2026-01-01 00:00:06"), ("m", 16, 0, 1, "2026-01-01 00:05:00")]
+    for r in batches:
+        spark.createDataFrame([r], "model string, in_tok long, cr_tok long, session_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name, build, want in (
+            ("rate", lambda s: ingest.token_rate(s, "10 seconds", "10 seconds").select(F.date_format("window.start", "mm:ss").alias("at"), "tokens"), [("00:00", 1), ("00:50", 4), ("01:00", 2)]),
+            ("spawn", lambda s: ingest.spawn_windows(s, "20 seconds").select(F.date_format("session_window.start", "mm:ss").alias("at"), "turns"), [("00:05", 1), ("00:50", 2)])):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = build(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / name / "ck")).trigger(availableNow=True)
+        assert query.start(str(tmp_path / name / "out")).awaitTermination(100)
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "out")).collect())) == want
