@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,20 @@ def test_late_rows_fall_behind_the_watermark(spark, tmp_path):
         query = build(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / name / "ck")).trigger(availableNow=True)
         assert query.start(str(tmp_path / name / "out")).awaitTermination(100)
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "out")).collect())) == want
+
+
+def test_a_silent_session_gives_up_its_state(spark, tmp_path):
+    schema = "file string, line_no int, line string"
+    spark.createDataFrame([("a", i, json.dumps(e)) for i, e in enumerate(lines_of_sessions()["a"])], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = tail.session_turns(tail.flat_entries(stream), idle_ms=1)
+    query = out.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        held = lambda: [(p["stateOperators"][0]["numRowsUpdated"], p["stateOperators"][0]["numRowsRemoved"], p["stateOperators"][0]["numRowsTotal"]) for p in query.recentProgress if p["stateOperators"]]
+        end = time.time() + 60
+        while time.time() < end and not any(removed for _, removed, _ in held()):
+            time.sleep(1)
+        seen = held()
+        assert seen[0][2] == 1 and (1, 0) in [s[1:] for s in seen]
+    finally:
+        query.stop()
