@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,3 +228,47 @@ def rate_manifest(cards: DataFrame) -> DataFrame:
 def cell_owner(parts: DataFrame, cell: str) -> DataFrame:
     """The dearest category of each cell, ties to the first by name."""
     return parts.groupBy(cell).agg(F.min_by("category", F.struct(-F.col("cost_ticks"), "category")).alias("category"))
+
+
+def stacked_cells(costs: np.ndarray, scale: int, width: int) -> np.ndarray:
+    """Whole cells of each category (columns) in bars of running totals (rows, oldest first).
+
+    A bar has round(total * width / scale) cells. Each category has its floor at least, and
+    never fewer than in the bar before; what is too much then leaves the categories that
+    grew most, and what is missing goes to those furthest below their share. Ties go to the
+    first category. Counts of ticks are integers of any size.
+    """
+    out, before = np.zeros(costs.shape, dtype=np.int64), np.zeros(costs.shape[1], dtype=np.int64)
+    for row, own in enumerate(costs):
+        own = [int(c) for c in own]
+        total = sum(own)
+        bar = (2 * total * width + scale) // (2 * scale) if scale > 0 else 0
+        cells = np.maximum([c * bar // scale if scale > 0 else 0 for c in own], before)
+        while cells.sum() > bar and (cells > 0).any():
+            cells[int(np.where(cells > 0, cells - before, -width - 1).argmax())] -= 1
+        while cells.sum() < bar and total > 0:
+            short = [c * bar - int(n) * total for c, n in zip(own, cells)]
+            cells[short.index(max(short))] += 1
+        out[row] = before = cells
+    return out
+
+
+def cumulative_cells(rows: DataFrame, by: str, order: list[str], width: int, scale: Column | None = None) -> DataFrame:
+    """The cells of charts of running totals: rows (``by``, bin, category, cost_ticks), the totals of each bin alone; out: also running ticks and cells.
+
+    Bars follow each other, so a chart is made in one task; it has as many rows as a report
+    shows bins (``newest_bins``) times categories. ``scale`` (a column of ``rows``, the same
+    in a chart) is the cost of a full bar, else the dearest bar's. Categories absent from a bin have a row with what they had before.
+    """
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, bin {rows.schema['bin'].dataType.simpleString()}, category string, run_ticks long, cells long"
+
+    def draw(key: tuple, chart: pd.DataFrame) -> pd.DataFrame:
+        grid = chart.groupby(["bin", "category"])["cost_ticks"].sum().unstack(fill_value=0).reindex(columns=order, fill_value=0).sort_index().cumsum()
+        full = int(chart["_scale"].iloc[0]) if scale is not None else int(grid.sum(axis=1).max())
+        cells = stacked_cells(grid.to_numpy(), full, width)
+        long = grid.stack().rename("run_ticks").reset_index()
+        long.columns = ["bin", "category", "run_ticks"]
+        return long.assign(cells=cells.ravel(), **{by: key[0]})[[by, "bin", "category", "run_ticks", "cells"]]
+
+    slim = rows.select(by, "bin", "category", F.col("cost_ticks").cast("bigint").alias("cost_ticks"), (F.lit(0) if scale is None else scale).cast("bigint").alias("_scale"))
+    return slim.groupBy(by).applyInPandas(draw, schema)

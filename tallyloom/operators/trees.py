@@ -19,11 +19,16 @@ def normal_ids(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"parent": plain("parent"), "child": plain("child")})
 
 
-def reach(edges: DataFrame, roots: DataFrame, inside: DataFrame | None = None, max_depth: int = 5, keep=lambda df: df) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint where the session names a shared folder for them; else as it is, and its exchange is reused."""
+    return df if df.sparkSession.sparkContext.getCheckpointDir() is None else df.checkpoint()
+
+
+def reach(edges: DataFrame, roots: DataFrame, inside: DataFrame | None = None, max_depth: int = 5, keep=written) -> DataFrame:
     """The depth at which each session's own edges stand: (root, node, depth), 1 at the root.
 
-    Sessions ``inside`` (root, node) the root's own total stand at depth 2. ``keep`` may
-    write a frontier down (a checkpoint); each frontier is used twice.
+    Sessions ``inside`` (root, node) the root's own total stand at depth 2. Each level is
+    used twice, so ``keep`` writes it down.
     """
     start = roots.select(F.col("node").alias("root"), "node", F.lit(1).alias("depth"))
     if inside is not None:

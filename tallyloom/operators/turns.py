@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
+from . import trees
 
-def dedup_max_cost(turns: DataFrame, lists: tuple[str, ...] = ()) -> DataFrame:
+
+def dedup_max_cost(turns: DataFrame, lists: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
     """One row per (session, message): the copy of greatest cost, of equals the first; ``lists`` are merged over
-    the copies in order of appearance; rows without a message stay as they are. ``seq`` is that of the first copy."""
+    the copies in order of appearance; a flag is set if any copy sets it (null counts as not set).
+    Rows without a message stay as they are. ``seq`` is that of the first copy.
+
+    With several copies, a sidechain one clears ``cache_miss``, and an interrupted message is of category interrupted, where there are such columns.
+    """
     named, bare = turns.where("message_id is not null"), turns.where("message_id is null")
-    rest = [c for c in turns.columns if c not in ("session_id", "message_id", "seq", *lists)]
+    rest = [c for c in turns.columns if c not in ("session_id", "message_id", "seq", *lists, *flags)]
     best = F.max_by(F.struct(*rest), F.struct("cost_ticks", -F.col("seq")))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v")))), lambda s: s["v"])
     merged = [F.array_distinct(F.flatten(in_order(c))).alias(c) for c in lists]
-    one = named.groupBy("session_id", "message_id").agg(F.min("seq").alias("seq"), best.alias("b"), *merged)
-    return one.select("session_id", "message_id", "seq", "b.*", *lists).select(*turns.columns).unionByName(bare)
+    merged += [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
+    merged += [F.bool_or("is_sidechain").alias("_side")] if {"cache_miss", "is_sidechain"} <= set(turns.columns) else []
+    one = named.groupBy("session_id", "message_id").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("_copies"), best.alias("b"), *merged)
+    one = one.select("session_id", "message_id", "seq", "_copies", "b.*", *[c for c in one.columns if c not in ("session_id", "message_id", "seq", "_copies", "b")])
+    several = F.col("_copies") > 1
+    if "_side" in one.columns:
+        one = one.withColumn("cache_miss", F.col("cache_miss") & ~(several & F.coalesce("_side", F.lit(False))))
+    if "category" in rest and "interrupted" in flags:
+        one = one.withColumn("category", F.when(several & F.col("interrupted") & F.col("category").isNotNull(), "interrupted").otherwise(F.col("category")))
+    return one.select(*turns.columns).unionByName(bare)
 
 
 def in_session() -> Window:
@@ -72,10 +87,10 @@ def running(rows: DataFrame, key: str, values: tuple[str, ...], by: tuple[str, .
 
 
 def current_generation(rows: DataFrame, is_marker: str, source: str) -> DataFrame:
-    """Rows after the last generation marker of their source."""
-    w = Window.partitionBy(source)
-    last = F.max(F.when(F.col(is_marker), F.col("pos"))).over(w)
-    return rows.withColumn("_last", last).where(f"not {is_marker} and (_last is null or pos > _last)").drop("_last")
+    """Rows after the last generation marker of their source. The markers are few: their last places meet the rows in a join, so that no source is gathered in one task."""
+    last = rows.where(is_marker).groupBy(source).agg(F.max("pos").alias("_last"))
+    kept = rows.where(~F.coalesce(F.col(is_marker), F.lit(False))).join(last.withColumnRenamed(source, "_source"), F.col(source).eqNullSafe(F.col("_source")), "left")
+    return kept.where("_last is null or pos > _last").drop("_last", "_source")
 
 
 def merged_windows(turns: DataFrame, gap_ms: int) -> DataFrame:
@@ -92,6 +107,46 @@ def rolling_tokens(turns: DataFrame, span_ms: int = 60_000) -> DataFrame:
     return turns.withColumn("tpm", F.sum(F.col("in_tok") + F.col("cr_tok")).over(w))
 
 
+def rolling_sum(rows: DataFrame, by: tuple[str, ...], value: Column, out: str, span_ms: int) -> DataFrame:
+    """``out``: the sum of ``value`` over the rows of the same ``by`` in the ``span_ms`` up to each row (both ends count).
+
+    Time is cut into buckets as wide as the span; a row stands in its own bucket and, to be
+    counted only, in the next. So a key with a third of all rows is spread over its buckets.
+    """
+    own = F.floor(F.col("ts_ms") / span_ms)
+    both = rows.withColumn("_value", value).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", own + F.col("_ahead"))
+    w = Window.partitionBy(*by, "_bucket").orderBy("ts_ms").rangeBetween(-span_ms, 0)
+    return both.withColumn(out, F.coalesce(F.sum("_value").over(w), F.lit(0))).where("_ahead = 0").drop("_value", "_ahead", "_bucket")
+
+
+def request_gate(requests: DataFrame, turns: DataFrame, span_ms: int = 60_000, pause_ms: int = 40_000, ceilings: Column | None = None) -> DataFrame:
+    """Requests (request_id, ts_ms, model) with code, tpm, ceiling, over and resume_ms.
+
+    tpm: what the code's collapsed turns of all sessions read in the ``span_ms`` up to the
+    request. A request over its code's ceiling waits ``pause_ms``; codes that begin with d
+    are shown as over but never wait. ``ceilings`` (of ``code``) replaces the built-in ones. Turns without a model count for nobody.
+    """
+    code = names.model_code(F.col("model")).alias("code")
+    asked = requests.select("request_id", "ts_ms", code, F.lit(0).cast("bigint").alias("tokens"))
+    spent = turns.where("model is not null and model <> ''").select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.lit(False).alias("asks"), "ts_ms", code, (F.col("in_tok") + F.col("cr_tok")).alias("tokens"))
+    seen = rolling_sum(asked.withColumn("asks", F.lit(True)).unionByName(spent), ("code",), F.col("tokens"), "tpm", span_ms).where("asks").drop("asks", "tokens")
+    seen = seen.withColumn("ceiling", (names.ceiling(F.col("code")) if ceilings is None else ceilings).cast("bigint")).withColumn("over", F.col("tpm") > F.col("ceiling"))
+    return seen.withColumn("resume_ms", F.col("ts_ms") + F.when(F.col("over") & ~F.startswith("code", F.lit("d")), F.lit(pause_ms)).otherwise(0))
+
+
+def active_rates(turns: DataFrame, now_ms: int, session: str | None = None, span_ms: int = 60_000, active_ms: int = 120_000) -> DataFrame:
+    """At ``now_ms`` by code: tpm, what its turns of the last ``span_ms`` read; last_age_ms, the age of the newest of the last ``active_ms``; session_tpm, the part of one session.
+
+    Turns from the future count, with a negative age; those without a model or a time do not.
+    """
+    age = F.lit(now_ms) - F.col("ts_ms")
+    read = F.when(age <= span_ms, F.col("in_tok") + F.col("cr_tok")).otherwise(0)
+    own = F.when(F.col("session_id").cast("string") == F.lit(session), read).otherwise(0)
+    live = turns.where((age <= active_ms) & (F.coalesce("model", F.lit("")) != ""))
+    return live.groupBy(names.model_code(F.col("model")).alias("code")).agg(
+        F.sum(read).cast("bigint").alias("tpm"), F.least(F.min(age), F.lit(active_ms)).cast("bigint").alias("last_age_ms"), F.sum(own).cast("bigint").alias("session_tpm"))
+
+
 def claimed_children(turns: DataFrame, children: DataFrame, reach_ms: int = 15_000) -> DataFrame:
     """Each child (child, slug, first_ms, ticks) goes to the first turn of its slug that began within ``reach_ms`` of it.
 
@@ -103,13 +158,7 @@ def claimed_children(turns: DataFrame, children: DataFrame, reach_ms: int = 15_0
 
 def tree_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
     """Smallest depth of every node reachable from each root (root, node, depth), cycles and all, to ``max_depth``."""
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.select("root", F.col("node").alias("parent")).join(edges, "parent").select("root", F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(frontier)
-    return seen
+    return trees.reach(edges, roots, None, max_depth).withColumn("depth", F.col("depth") - 1)
 
 
 def apportion(rows: DataFrame, value: str, cells: int, order: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bins
+from ..functions import bins, classify, names
 from ..operators import audit, children, reports, trees
 from ..operators import turns as ops
 from ..sources import catalog, facts
@@ -351,3 +351,59 @@ def usage_alignment(spark, sf_dir):
     """Greedy forward matching has no SQL form; tests compare it with a plain loop."""
     rows = priced(spark, sf_dir).withColumns({"in_tok": F.col("in_tok") % 3, "out_tok": F.col("out_tok") % 2})
     return audit.aligned(rows.where("event_id % 3 = 0"), rows.where("event_id % 2 = 0"), ["in_tok", "out_tok"])
+
+
+@query("""SELECT session_id, message_id, min(seq) AS seq, arg_max(event_id, cost_ticks * 1000000 - seq) AS event_id, bool_or(after_compaction) AS after_compaction, bool_or(peak_priced) AS peak_priced, bool_or(event_id % 7 = 0) AS interrupted,
+  arg_max(event_id % 5 < 2, cost_ticks * 1000000 - seq) AND NOT (count(*) > 1 AND bool_or(is_sidechain)) AS cache_miss,
+  CASE WHEN count(*) > 1 AND bool_or(event_id % 7 = 0) THEN 'interrupted' ELSE arg_max(category, cost_ticks * 1000000 - seq) END AS category FROM t GROUP BY 1, 2""")
+def copies_merge_flags(spark, sf_dir):
+    rows = priced(spark, sf_dir).withColumns({"interrupted": F.col("event_id") % 7 == 0, "cache_miss": F.col("event_id") % 5 < 2})
+    return ops.dedup_max_cost(rows, flags=("after_compaction", "peak_priced", "interrupted")).select("session_id", "message_id", "seq", "event_id", "after_compaction", "peak_priced", "interrupted", "cache_miss", "category")
+
+
+@query(""", q AS (SELECT o_orderkey AS request_id, (SELECT min(ts_ms) FROM t) + o_orderkey * 104729 % 2592000 * 1000 AS ts_ms, o_orderkey % 3 AS k FROM orders WHERE o_orderkey % 4 = 0),
+ m AS (SELECT * FROM (VALUES (0, 'vendor/claude-haiku-4-5-x'), (1, 'claude-sonnet-4-6'), (2, 'deepseek-v4-pro')) AS v(k, model)),
+ r AS (SELECT request_id, q.ts_ms, (coalesce((SELECT sum(in_tok + cr_tok) FROM t WHERE t.model = m.model AND t.ts_ms BETWEEN q.ts_ms - 3600000 AND q.ts_ms), 0))::BIGINT AS tpm, q.k FROM q JOIN m USING (k))
+ SELECT request_id, ts_ms, tpm, tpm > 1000 AS over, ts_ms + CASE WHEN tpm > 1000 AND k <> 2 THEN 40000 ELSE 0 END AS resume_ms FROM r""")
+def request_gate(spark, sf_dir):
+    rows, k = turns(spark, sf_dir), F.col("o_orderkey")
+    begin = rows.agg(F.min("ts_ms").alias("begin"))
+    model = F.get(F.array(F.lit("vendor/claude-haiku-4-5-x"), F.lit("claude-sonnet-4-6"), F.lit("deepseek-v4-pro")), (k % 3).cast("int"))
+    asked = table(spark, sf_dir, "orders").where(k % 4 == 0).crossJoin(F.broadcast(begin)).select(  # one row: when the events begin
+        k.alias("request_id"), (F.col("begin") + k * 104729 % 2592000 * 1000).alias("ts_ms"), model.alias("model"))
+    return ops.request_gate(asked, rows, span_ms=3_600_000, ceilings=F.lit(1000)).select("request_id", "ts_ms", "tpm", "over", "resume_ms")
+
+
+@query(""", n AS (SELECT min(ts_ms) + 86400000 AS now FROM t)
+ SELECT model, (sum(CASE WHEN now - ts_ms <= 21600000 THEN in_tok + cr_tok ELSE 0 END))::BIGINT AS tpm, (least(min(now - ts_ms), 43200000))::BIGINT AS last_age_ms,
+  (sum(CASE WHEN now - ts_ms <= 21600000 AND session_id = 7 THEN in_tok + cr_tok ELSE 0 END))::BIGINT AS session_tpm FROM t, n WHERE now - ts_ms <= 43200000 GROUP BY 1""")
+def active_rates(spark, sf_dir):
+    rows = turns(spark, sf_dir)
+    now = rows.agg(F.min("ts_ms")).first()[0] + 86_400_000
+    names_of = rows.select("model").distinct().select("model", names.model_code(F.col("model")).alias("code"))
+    return ops.active_rates(rows, now, "7", 21_600_000, 43_200_000).join(names_of, "code").select("model", "tpm", "last_age_ms", "session_tpm")
+
+
+@query("""WITH s AS (SELECT c_custkey AS session_id, CASE WHEN c_custkey % 9 > 0 THEN c_custkey * 3 END AS raw_lines FROM customer),
+ v AS (SELECT c_custkey AS session_id, x.version, x.place, c_custkey % 7 <> x.place AS readable FROM customer, (VALUES ('0.9.12', 0), ('0.10.1', 1), ('0.2.0', 2)) AS x(version, place) WHERE (c_custkey // (x.place + 1)) % 3 > 0),
+ b AS (SELECT session_id, version FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY version = '0.2.0' DESC, place = 1 DESC, place = 0 DESC) AS n FROM v) WHERE n = 1 AND readable),
+ u AS (SELECT o_custkey AS session_id, CASE o_orderkey % 3 WHEN 0 THEN '0.9.12' WHEN 1 THEN '0.10.1' ELSE '0.2.0' END AS version, o_orderkey AS cost_ticks FROM orders)
+ SELECT s.session_id, count(u.cost_ticks) AS turns, (coalesce(sum(u.cost_ticks), 0))::BIGINT AS cost_ticks, b.version, CASE WHEN b.version IS NULL THEN any_value(raw_lines) END AS raw_lines
+ FROM s LEFT JOIN b USING (session_id) LEFT JOIN u ON u.session_id = s.session_id AND u.version = b.version GROUP BY s.session_id, b.version""")
+def session_overview(spark, sf_dir):
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    people = table(spark, sf_dir, "customer")
+    sessions = people.select(c.alias("session_id"), F.when(c % 9 > 0, c * 3).alias("raw_lines"))
+    versions = ("0.9.12", "0.10.1", "0.2.0")
+    tables = people.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(i).alias("place")) for i, v in enumerate(versions)])).alias("x"))
+    tables = tables.where(F.floor(c / (F.col("x.place") + 1)) % 3 > 0).select(c.alias("session_id"), "x.version", (c % 7 != F.col("x.place")).alias("readable"))
+    spent = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.get(F.array(*map(F.lit, versions)), (o % 3).cast("int")).alias("version"), o.alias("cost_ticks"))
+    return facts.session_overview(sessions, tables, spent, "0.2.0")
+
+
+@query(None)
+def cumulative_cells(spark, sf_dir):
+    """Each bar's cells depend on the bar before: no SQL form; tests hold it against worked charts and the rules."""
+    day = bins.bin_key(F.col("ts"), "1d").alias("bin")
+    cost = priced(spark, sf_dir).groupBy((F.col("session_id") % 50).alias("chart"), day, "category").agg(F.sum("cost_ticks").alias("cost_ticks"))
+    return reports.cumulative_cells(cost, "chart", list(classify.CATEGORIES), 60)

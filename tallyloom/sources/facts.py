@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pricing
+from ..functions import names, pricing
 
 # Keys of a turn's line.
 KEYS = "t double, c double, cat string, id string, m string, in bigint, out bigint, cr bigint, cw bigint, rs bigint, sc double, tl string, cb bigint, ut int, ttl string, miss int, ir int, sp int, s string"
@@ -116,3 +116,19 @@ def latest_version(tables: DataFrame, now_version: str) -> DataFrame:
     """Which of a session's fact files to read: this version's in its own project, else in another, else the newest other version."""
     order = [F.when((F.col("version") == now_version) & F.col("own_project"), 0).when(F.col("version") == now_version, 1).otherwise(2), F.desc("mtime_ms"), "path"]
     return tables.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def session_overview(sessions: DataFrame, tables: DataFrame, turns: DataFrame, now_version: str) -> DataFrame:
+    """What a list of sessions shows of each: (session_id, turns, cost_ticks, version, raw_lines).
+
+    From its fact table of ``now_version``, else of the highest version; without one, the
+    lines of the transcript, null if it could not be read. sessions: (session_id,
+    raw_lines); tables: (session_id, version, readable), several a session; turns:
+    collapsed (session_id, version, cost_ticks). A table that cannot be read gives lines too.
+    """
+    rank = F.struct((F.col("version") == now_version).alias("now"), names.version_key(F.col("version")).alias("key"))
+    chosen = tables.groupBy("session_id").agg(F.max_by(F.struct("version", "readable"), rank).alias("t")).where("t.readable").select("session_id", "t.version")
+    spent = chosen.join(turns, ["session_id", "version"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("cost_ticks").alias("cost_ticks"))
+    rows = sessions.join(chosen, "session_id", "left").join(spent, "session_id", "left")
+    return rows.select("session_id", F.coalesce("turns", F.lit(0)).cast("bigint").alias("turns"), F.coalesce("cost_ticks", F.lit(0)).cast("bigint").alias("cost_ticks"), "version",
+                       F.when(F.col("version").isNull(), F.col("raw_lines")).alias("raw_lines"))

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,27 @@ def test_small_expressions(spark):
     assert [r["id"] for r in reports.page_of(spark.range(30), ["id"], 29, 30).collect()] == list(range(19, 30))
     with pytest.raises(ValueError):
         reports.newest_bins(spark.range(1), 0)
+
+
+def test_cells_of_running_totals():
+    costs = lambda *rows: np.array(rows, dtype=object)
+    # 10 cells for 100: a floor each, then what is missing to the category furthest below its share
+    assert reports.stacked_cells(costs((33, 33, 34)), 100, 10).tolist() == [[3, 3, 4]]
+    # a category never loses a cell to the bar before; what is too much leaves the one that grew most
+    assert reports.stacked_cells(costs((10, 9, 9), (10, 9, 31), (10, 40, 50)), 100, 10).tolist() == [[1, 1, 1], [1, 1, 3], [1, 4, 5]]
+    assert reports.stacked_cells(costs((0, 0), (0, 0)), 0, 10).tolist() == [[0, 0], [0, 0]]
+    r = random.Random(4)
+    for _ in range(200):
+        steps = np.cumsum([[r.choice((0, 0, 1, 7, 300)) for _ in range(5)] for _ in range(8)], axis=0).astype(object)
+        top = int(steps[-1].sum())
+        cells = reports.stacked_cells(steps, top, 37)
+        assert (np.diff(cells, axis=0) >= 0).all() and (cells >= 0).all()
+        assert cells.sum(axis=1).tolist() == [(2 * int(s.sum()) * 37 + top) // (2 * top) if top else 0 for s in steps]
+
+
+def test_cells_by_chart(spark):
+    rows = spark.createDataFrame([("x", "b1", "a", 10), ("x", "b2", "c", 30), ("y", "b1", "c", 2**60), ("y", "b1", "c", 1)], "chart string, bin string, category string, cost_ticks long")
+    got = {tuple(r)[:3]: (r["run_ticks"], r["cells"]) for r in reports.cumulative_cells(rows, "chart", ["a", "b", "c"], 4).collect()}
+    assert got == {("x", "b1", "a"): (10, 1), ("x", "b1", "b"): (0, 0), ("x", "b1", "c"): (0, 0), ("x", "b2", "a"): (10, 1), ("x", "b2", "b"): (0, 0), ("x", "b2", "c"): (30, 3),
+                   ("y", "b1", "a"): (0, 0), ("y", "b1", "b"): (0, 0), ("y", "b1", "c"): (2**60 + 1, 4)}
+    assert reports.cumulative_cells(rows.where("false"), "chart", ["a"], 4).count() == 0

@@ -107,3 +107,27 @@ def test_a_silent_session_gives_up_its_state(spark, tmp_path):
         assert seen[0][2] == 1 and (1, 0) in [s[1:] for s in seen]
     finally:
         query.stop()
+
+
+def test_children_meet_turns_as_both_streams_run(spark, tmp_path):
+    at = lambda s: f"2026-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    turns_in = [[("a", 1, "s", at(100)), ("b", 1, "s", at(110)), ("a", 2, "t", at(130))], [("a", 3, "s", at(400))], [("a", 4, "t", at(800))]]
+    # c1 is before its turn by 15 s, c2 after it by 15, c3 by 16; c4 comes a micro-batch after its turn
+    children_in = [[("c1", "s", at(85)), ("c2", "s", at(115)), ("c3", "t", at(146))], [("c4", "s", at(401))], [("c5", "u", at(800))]]
+    sides = {}
+    for name, batches, schema in (("turns", turns_in, "session_id string, seq long, slug string, ts string"), ("children", children_in, "child string, child_slug string, first_ts string")):
+        when = schema.split()[-2]
+        for batch in batches:
+            spark.createDataFrame(batch, schema).withColumn(when, F.to_timestamp(when)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        sides[name] = spark.readStream.schema(schema[: -len("string")] + "timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    found = ingest.spawned_children(sides["turns"], sides["children"])
+    query = found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    assert query.awaitTermination(100)
+    facts = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["session_id"], r["seq"], r["child"] or "") for r in facts.collect()) == [("a", 1, "c1"), ("a", 1, "c2"), ("a", 2, ""), ("a", 3, "c4"), ("b", 1, "c2")]
+    assert sorted((r["child"], r["session_id"], r["seq"]) for r in ingest.first_claims(facts.union(facts)).collect()) == [("c1", "a", 1), ("c2", "a", 1), ("c4", "a", 3)]
+
+
+def test_ceilings(spark):
+    rates = spark.createDataFrame([("deepseek-v4-pro", 10**9), ("claude-sonnet-4-6", 10**9), ("claude-sonnet-4-6", 5)], "model string, tokens long")
+    assert [(r["over"], r["waits"]) for r in ingest.over_ceiling(rates).collect()] == [(True, False), (True, True), (False, False)]
