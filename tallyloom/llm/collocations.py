@@ -92,7 +92,7 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
         # the folder is the task's own spill space, gone when the bucket is counted
         with tempfile.TemporaryDirectory(prefix="phrases-") as spill, duckdb.connect(config={"threads": 1, "memory_limit": COUNT_MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as db:
             db.register("met", pa.RecordBatchReader.from_batches(kinds, plain))
-            found = db.execute(f"SELECT lang, words, phrase, CAST(sum(f) AS BIGINT) AS f FROM met GROUP BY ALL HAVING sum(f) >= {int(least)}")
+            found = db.sql(f"SELECT lang, words, phrase, CAST(sum(f) AS BIGINT) AS f FROM met GROUP BY ALL HAVING sum(f) >= {int(least)}")
             yield from found.to_arrow_reader(1 << 16)
 
     schema = "lang string, words int, phrase string, f long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, url_filter, warc
+from . import alignment, collocations, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -61,5 +65,5 @@ def op13_collocations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_exact_dedup, op3_language_id, op4_quality, op5_secrets, op6_decontaminate, op7_ngram_join, op8_warc, op9_url_filter, op10_packing, op12_line_dedup, op13_collocations)}
+    op1_token_counts, op2_exact_dedup, op3_language_id, op4_quality, op5_secrets, op6_decontaminate, op7_ngram_join, op8_warc, op9_url_filter, op10_packing, op11_alignment, op12_line_dedup, op13_collocations)}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_collocations": collocations.ORACLE}
