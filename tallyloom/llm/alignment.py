@@ -63,7 +63,9 @@ class Vocabularies:
             self.known[s] = np.array(a, dtype=np.int32), np.array(b, dtype=np.int32), same
 
 
-vocabularies = cache(Vocabularies)
+@cache
+def vocabularies(ranks_file: str, pattern: str, model_file: str) -> Vocabularies:
+    return Vocabularies(ranks_file, pattern, model_file)
 
 
 def default_files() -> tuple[str, str, str]:
