@@ -170,12 +170,13 @@ def rates_in_force(base: Column, dates: Column, sizes: Column, ts_ms: Column, to
             .otherwise(plain(base)))
 
 
-def price(turns: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+def price(turns: DataFrame, cards: DataFrame | None = None, peaks: str | None = None) -> DataFrame:
     """``turns`` with cost_ticks, write_ticks (the share of cache writes), priced and peak_priced.
 
     Without a card, names with haiku or opus take those families' rates, others 3 / 15
     dollars, and cache writes 1.25 and 2 times the input rate; one family's ids borrow a
     sibling's card. Models are resolved once each and joined back; rows without a model cost nothing.
+    ``peaks`` names a further column: whether the model's card has peak hours.
     """
     cards = cards if cards is not None else rate_cards(turns.sparkSession)
     joined = turns.join(with_siblings(turns, resolve_models(turns, cards), cards), "model", "left")
@@ -194,7 +195,7 @@ def price(turns: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     return out.withColumns({
         "write_ticks": F.when(has, write).otherwise(0).cast("bigint"),
         "cost_ticks": F.when(has, read + write).otherwise(0).cast("bigint"),
-        "priced": F.col("card").isNotNull(), "known_rates": is_priced(F.col("card"), F.col("model")), "peak_priced": F.col("factor") > 1,
+        **({peaks: F.coalesce("peak", F.lit(False))} if peaks else {}), "priced": F.col("card").isNotNull(), "known_rates": is_priced(F.col("card"), F.col("model")), "peak_priced": F.col("factor") > 1,
     }).drop("card", "base", "dates", "sizes", "peak", "rates", "factor", "ord")
 
 

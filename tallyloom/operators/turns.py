@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from . import trees
+from . import scan, trees
 
 
 def dedup_max_cost(turns: DataFrame, lists: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
@@ -33,28 +33,22 @@ def dedup_max_cost(turns: DataFrame, lists: tuple[str, ...] = (), flags: tuple[s
     return one.select(*turns.columns).unionByName(bare)
 
 
-def in_session() -> Window:
-    return Window.partitionBy("session_id").orderBy("seq")
-
-
 def previous_context(turns: DataFrame) -> DataFrame:
     """prev_ctx: input and cache tokens of the last earlier turn of the main chain, 0 without one."""
-    before = in_session().rowsBetween(Window.unboundedPreceding, -1)
     size = F.when(~F.col("is_sidechain"), F.col("in_tok") + F.col("cr_tok") + F.col("cw_tok"))
-    return turns.withColumn("prev_ctx", F.coalesce(F.last(size, ignorenulls=True).over(before), F.lit(0)))
+    return scan.scan(turns, ("session_id",), "seq", lasts={"prev_ctx": size}).withColumn("prev_ctx", F.coalesce("prev_ctx", F.lit(0)))
 
 
 def carry(rows: DataFrame, value: str, out: str) -> DataFrame:
     """The last value set before each row of its session."""
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(in_session().rowsBetween(Window.unboundedPreceding, -1)))
+    return scan.scan(rows, ("session_id",), "seq", lasts={out: F.col(value)})
 
 
 def stamped_back(rows: DataFrame, by: tuple[str, ...], order: str, is_turn: str, signal: str, out: str) -> DataFrame:
     """Turns, marked where a signal stands between them and the next turn; signals before the first turn mark nothing."""
-    nth = F.count_if(F.col(is_turn)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    numbered = rows.withColumn("_nth", nth)
-    stamped = F.coalesce(F.max(signal).over(Window.partitionBy(*by, "_nth")), F.lit(False))
-    return numbered.withColumn(out, stamped).where(is_turn).drop("_nth")
+    numbered = scan.scan(rows, by, order, counts={"_nth": F.coalesce(F.col(is_turn), F.lit(False))})
+    marks = scan.stamps(numbered, by, "_nth", {out: F.col(signal)}, {})
+    return scan.null_safe(numbered.where(is_turn), marks, [*by, "_nth"]).withColumn(out, F.coalesce(out, F.lit(False))).drop("_nth")
 
 
 def split_overhead(turns: DataFrame) -> DataFrame:
@@ -103,8 +97,7 @@ def merged_windows(turns: DataFrame, gap_ms: int) -> DataFrame:
 
 def rolling_tokens(turns: DataFrame, span_ms: int = 60_000) -> DataFrame:
     """Tokens read per model and session in the ``span_ms`` up to each turn."""
-    w = Window.partitionBy("session_id", "model").orderBy("ts_ms").rangeBetween(-span_ms, 0)
-    return turns.withColumn("tpm", F.sum(F.col("in_tok") + F.col("cr_tok")).over(w))
+    return rolling_sum(turns, ("session_id", "model"), F.col("in_tok") + F.col("cr_tok"), "tpm", span_ms)
 
 
 def rolling_sum(rows: DataFrame, by: tuple[str, ...], value: Column, out: str, span_ms: int) -> DataFrame:

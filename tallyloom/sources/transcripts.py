@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, pricing, shell
+from ..operators import reports, scan, trees
 
 # How an interrupt is marked in a user's line; dollars a web search or fetch.
 INTERRUPT = "[Request interrupted by user"
@@ -70,14 +71,17 @@ def _text(spark: SparkSession, path: str, skip: tuple[str, ...], modified_after:
 def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None) -> DataFrame:
     """file, line_no, line of every non-blank line below ``path``, numbered in the order of the files.
 
-    Files are read in splits, a line a row; a line's number is its rank by the split's
-    place and its place in the split, so no file is held whole. Folders of derived data
-    are skipped, and files not changed after ``modified_after``.
+    Files are read in splits, a line a row. A line's number is the count of lines in the
+    splits before its own, and its rank in its own: no task holds more of a file than a
+    split. Folders of derived data are skipped, and files not changed after ``modified_after``.
     """
     text = _text(spark, path, skip, modified_after)
     rows = text.select("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
-    return rows.select("file", number.alias("line_no"), "line").where(F.trim("line") != "")
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    sizes = text.select("file", F.col("_metadata.file_block_start").alias("block")).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("rank", rank).join(sizes.select("file", "block", F.coalesce(ahead, F.lit(0)).alias("ahead")), ["file", "block"])
+    return placed.select("file", (F.col("ahead") + F.col("rank")).alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def read_files(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None) -> DataFrame:
@@ -106,27 +110,40 @@ def entries(lines: DataFrame) -> DataFrame:
         "file", "line_no", "e", first(lambda a: F.lit(a.name)).alias("harness"),
         first(lambda a: a.native_usd).alias("native_usd"), *[first(lambda a, i=i: a.tokens[i]).alias(n) for i, n in enumerate(names)],
         yes(interrupted).alias("interrupt"), (yes(F.col("e.isCompactSummary")) | yes(F.col("e.type") == "compaction")).alias("compacted"),
-        F.when(F.col("e.type") == "model_change", F.col("e.modelId")).alias("model_set"),
+        F.when(F.col("e.type") == "model_change", F.nullif("e.modelId", F.lit(""))).alias("model_set"),
+        F.when(F.col("e.type") == "thinking_level_change", F.nullif("e.thinkingLevel", F.lit(""))).alias("thinking_set"),
+        F.when(F.col("e.type") == "compaction", F.col("e.tokensBefore")).alias("freed"),
         yes(F.col("e.type") == "system").alias("system"),
         F.from_json(text, _BLOCKS).alias("blocks"))
     uncounted = F.when(yes(known[0].compaction) | yes(known[1].compaction), F.lit("compaction")).when(yes(known[0].recap), F.lit("recap"))
     return out.withColumn("uncounted", uncounted)
 
 
+def states(rows: DataFrame) -> DataFrame:
+    """What the lines around a turn say of it, by (file, line_no): the model and thinking level in force, interrupted, after_compaction, compaction_before (tokens).
+
+    Only the few columns that carry are scanned, segment by segment; texts and tools of lines stay where they are.
+    """
+    slim = rows.select("file", "line_no", F.col("harness").isNotNull().alias("is_turn"), "interrupt", "compacted", "model_set", "thinking_set", "freed")
+    slim = slim.where("is_turn or interrupt or compacted or model_set is not null or thinking_set is not null")
+    found = trees.written(scan.scan(slim, ("file",), "line_no", {"nth": F.col("is_turn")}, {"model_before": F.col("model_set"), "thinking_level": F.col("thinking_set")}))
+    freed = F.when(F.col("freed").isNotNull(), F.struct("line_no", "freed"))
+    marks = scan.stamps(found, ("file",), "nth", {"interrupted": F.col("interrupt")}, {"after_compaction": F.col("compacted"), "last_freed": freed})
+    return found.where("is_turn").join(marks, ["file", "nth"]).select(
+        "file", "line_no", "model_before", "thinking_level", "interrupted", F.coalesce("after_compaction", F.lit(False)).alias("after_compaction"), F.col("last_freed.freed").alias("compaction_before"))
+
+
 def turns(lines: DataFrame) -> DataFrame:
     """Turns of all files, priced and classified, one row a line that is an answer.
 
     A turn is interrupted by an interrupt between it and the next; a compaction before it
-    marks it; the model last set applies where the line names none. Costs are in ticks; a
-    native cost wins unless it is 0 beside tokens.
+    marks it; the model and thinking level last set apply where the line names none. Costs
+    are in ticks; a native cost wins unless it is 0 beside tokens. ``cache_ttl`` is the
+    longest tier written to, ``cache_miss`` a turn of the main chain that wrote to the
+    cache and read nothing, ``peak_priced`` null for models without peak hours.
     """
-    rows = entries(lines)
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("nth", F.count("harness").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("model_before", F.last("model_set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    group = Window.partitionBy("file", "nth")
-    rows = rows.withColumn("interrupted", F.max("interrupt").over(group)).withColumn("closing", F.max("compacted").over(group))
-    rows = rows.withColumn("after_compaction", F.lag("closing").over(w)).where("harness is not null")
+    parsed = entries(lines)
+    rows = parsed.where("harness is not null").drop("model_set", "thinking_set", "freed", "interrupt", "compacted").join(states(parsed), ["file", "line_no"])
     tool = lambda b: F.lower(b["name"])
     args = lambda b: F.coalesce(b["input"], b["arguments"])
     tools = F.filter(F.coalesce("blocks", F.array()), lambda b: b["type"].isin("tool_use", "toolCall"))
@@ -138,13 +155,16 @@ def turns(lines: DataFrame) -> DataFrame:
     others = F.filter(tools, lambda b: ~tool(b).isin(*handled))
     cats = F.filter(F.transform(others, lambda b: classify.tool_class(tool(b))), lambda c: c.isNotNull())
     use = F.col("e.message.usage")
-    model = F.coalesce("e.message.model", "model_before")
+    model = F.coalesce(F.nullif("e.message.model", F.lit("")), "model_before")
+    hour = F.coalesce(use["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0))
     searches = F.coalesce(use["server_tool_use"]["web_search_requests"], F.lit(0)) + F.coalesce(use["server_tool_use"]["web_fetch_requests"], F.lit(0))
     wide = rows.select(
         F.col("file").alias("session_id"), F.col("line_no").cast("long").alias("seq"), _ms(F.coalesce("e.message.timestamp", "e.timestamp")).alias("ts_ms"),
         F.col("e.message.id").alias("message_id"), model.alias("model"), "in_tok", "out_tok", "cr_tok", "cw_tok", "rs_tok",
-        F.coalesce(use["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0)).alias("cw1h_tok"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
-        "interrupted", F.coalesce("after_compaction", F.lit(False)).alias("after_compaction"),
+        hour.alias("cw1h_tok"), F.when(hour > 0, "1h").when(F.coalesce(use["cache_creation"]["ephemeral_5m_input_tokens"], F.lit(0)) > 0, "5m").alias("cache_ttl"),
+        reports.cache_missed(F.coalesce("e.isSidechain", F.lit(False)), F.col("cr_tok"), F.col("cw_tok")).alias("cache_miss"), F.col("e.requestId").alias("request_id"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
+        "interrupted", "after_compaction", "compaction_before", "thinking_level",
+        F.coalesce(use["server_tool_use"]["web_search_requests"], F.lit(0)).alias("web_searches"), F.coalesce(use["server_tool_use"]["web_fetch_requests"], F.lit(0)).alias("web_fetches"),
         F.size(F.when(F.startswith(F.ltrim(use["iterations"]), F.lit("[")), F.from_json(use["iterations"], "array<string>"))).alias("iterations"), "native_usd",
         F.concat(files, shell.all_files(commands)).alias("files"), commands.alias("commands"), cats.alias("tool_cats"),
         F.exists(F.coalesce("blocks", F.array()), lambda b: b["type"].isin("text", "thinking")).alias("has_text"),
@@ -153,4 +173,5 @@ def turns(lines: DataFrame) -> DataFrame:
     cost = F.when(F.col("native_usd").isNotNull() & ~((F.col("native_usd") == 0) & (F.col("in_tok") + F.col("out_tok") + F.col("cr_tok") + F.col("cw_tok") + F.col("rs_tok") > 0)),
                   F.round(F.col("native_usd") * pricing.TICKS).cast("bigint")).otherwise(F.col("cost_ticks"))
     kind = classify.turn_class(F.col("interrupted"), F.col("files"), F.col("tool_cats"), F.col("commands"), F.col("has_text"), F.col("unknown_tool"))
-    return pricing.price(wide).withColumn("cost_ticks", cost).withColumn("category", kind).drop("native_usd")
+    priced = pricing.price(wide, peaks="has_peaks")
+    return priced.withColumn("peak_priced", F.when(F.col("has_peaks"), F.col("peak_priced"))).withColumn("cost_ticks", cost).withColumn("category", kind).drop("native_usd", "has_peaks")
