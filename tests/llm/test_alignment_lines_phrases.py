@@ -146,11 +146,12 @@ def test_layout_of_filters():
     assert places.min() >= 0 and places.max() < layout.bits and places.shape == (4999, line_dedup.PROBES)
 
 
-@pytest.mark.parametrize("top", [2000, 3])
-def test_collocations_equal_sql(spark, top, monkeypatch):
+@pytest.mark.parametrize("top, pairs", [(2000, 8_000_000), (3, 0)])
+def test_collocations_equal_sql(spark, top, pairs, monkeypatch):
+    monkeypatch.setattr(collocations, "FILTER_PAIRS", pairs)
     rng = random.Random(2)
     words = ["alpha", "Beta", "gamma", "delta", "é", "x", "y"]
-    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", "  ", "\t", ". ", "\n"]) for _ in range(60)) if i % 11 else None, rng.choice(["en", "de", None, "und"])) for i in range(150)]
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", "  ", "\t", ". ", "\n"]) for _ in range(60)) if i % 11 else None, rng.choice(["en", "de", None, "und", "a\tb\n%"])) for i in range(150)]
     rows += [(7, "new york city hall is a new york city hall", "en")] * 40 + [(8, "New York city", "en")] * 35 + [(900, "", "fr"), (901, "once only", "zz")]
     docs = table(spark, rows)
     monkeypatch.setattr(collocations, "STEP_WORDS", 50)
