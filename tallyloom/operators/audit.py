@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
+from . import scan
+
 LINE = "type string, subtype string, isCompactSummary boolean, timestamp string, message struct<role:string,content:string>"
 
 
@@ -56,23 +61,36 @@ def attribution(marked: DataFrame, change: str, kind: str) -> DataFrame:
     return marked.agg(F.sum(F.when(inside, F.col(change)).otherwise(0)).alias("inside"), F.sum(F.when(~inside, F.col(change)).otherwise(0)).alias("outside"), F.count_if(inside).alias("windows"))
 
 
+def next_free(records: list, turns: list) -> list[int | None]:
+    """For each record, in order, the place of the next turn equal to it behind the last one taken; None where there is none.
+
+    The places of equal turns are one ascending list, in which the next is found by bisection: n log n, matched or not.
+    """
+    places: dict = {}
+    for i, key in enumerate(turns):
+        places.setdefault(key, []).append(i)
+    at, out = 0, []
+    for key in records:
+        own = places.get(key, ())
+        k = bisect_left(own, at)
+        out.append(own[k] if k < len(own) else None)
+        at = own[k] + 1 if k < len(own) else at
+    return out
+
+
 def aligned(records: DataFrame, turns: DataFrame, usage: list[str]) -> DataFrame:
     """Each record (session_id, seq, usage) with the next unused turn of equal usage, looking forward only: session_id, seq, turn_seq.
 
     The pointer of one record depends on all before it, so a session is one group; its
-    rows are a few numbers each.
+    rows are a few numbers each, and the work for a million of them takes seconds.
     """
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("seq"), right.sort_values("seq")
-        keys, own = list(right[usage].itertuples(index=False, name=None)), right["seq"].tolist()
-        at, out = 0, []
-        for row in left[["session_id", "seq", *usage]].itertuples(index=False, name=None):
-            hit = next((i for i in range(at, len(keys)) if keys[i] == row[2:]), None)
-            if hit is not None:
-                at = hit + 1
-            out.append((row[0], row[1], None if hit is None else own[hit]))
-        return pd.DataFrame(out, columns=["session_id", "seq", "turn_seq"]).astype({"turn_seq": "Int64"})
+        rows = lambda x: list(x[usage].itertuples(index=False, name=None))
+        found = next_free(rows(left), rows(right))
+        own = right["seq"].tolist()
+        return pd.DataFrame({"session_id": left["session_id"], "seq": left["seq"], "turn_seq": pd.array([None if i is None else own[i] for i in found], dtype="Int64")})
 
     kind = records.schema["session_id"].dataType.simpleString()
     cols = ["session_id", "seq", *usage]
@@ -80,6 +98,47 @@ def aligned(records: DataFrame, turns: DataFrame, usage: list[str]) -> DataFrame
     return records.select(*cols).groupBy("session_id").cogroup(other.groupBy("session_id")).applyInPandas(match, f"session_id {kind}, seq long, turn_seq long")
 
 
+def directories_of_turns(lines: DataFrame, turns: DataFrame) -> DataFrame:
+    """``turns`` (session_id, seq) with ``cwd``: the directory that the turn's line names, else the last one named before it in its file.
+
+    Lines and turns are one table in the order of the file; the last directory set is
+    carried over it in segments, so a long session is spread over tasks.
+    """
+    named = lines.where(F.contains("line", F.lit('"cwd"'))).select(F.col("file").alias("session_id"), F.col("line_no").cast("long").alias("seq"), F.nullif(F.get_json_object("line", "$.cwd"), F.lit("")).alias("_named"))
+    # a turn asks just behind its own line
+    both = named.where("_named is not null").select("session_id", (2 * F.col("seq")).alias("_at"), "_named").unionByName(
+        turns.select("session_id", (2 * F.col("seq") + 1).alias("_at")), allowMissingColumns=True)
+    told = scan.scan(both, ("session_id",), "_at", lasts={"cwd": F.col("_named")}).where(F.col("_at") % 2 == 1)
+    return turns.join(told.select("session_id", F.expr("(_at - 1) div 2").alias("seq"), "cwd"), ["session_id", "seq"], "left")
+
+
+def reviews(logs: DataFrame, branch: str) -> DataFrame:
+    """One row: rounds, findings (per round, by time) and unreadable of a branch's review logs (path, text).
+
+    A log's file name is the branch, a time and a number. A log that does not parse, or
+    that was reviewed but lacks findings or a time, is unreadable; one of another branch
+    or another status does not count.
+    """
+    name = names.file_name(F.col("path"))
+    ours = logs.where(F.startswith(name, F.lit(f"{branch}-")) & F.substr(name, F.lit(len(branch) + 2)).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z-\d+\.json$"))
+    v = F.try_parse_json("text")
+    read = ours.select(v.isNull().alias("broken"), F.try_variant_get(v, "$.branch", "string").alias("branch"), F.try_variant_get(v, "$.status", "string").alias("status"),
+                       F.try_variant_get(v, "$.utc", "string").alias("utc"), F.size(F.try_variant_get(v, "$.findings", "array<variant>")).alias("n"),
+                       F.startswith(F.schema_of_variant(F.try_variant_get(v, "$.utc", "variant")), F.lit("STRING")).alias("timed"))
+    judged = (F.col("branch") == branch) & (F.col("status") == "reviewed")
+    whole = judged & F.coalesce("timed", F.lit(False)) & F.col("n").isNotNull() & (F.col("n") >= 0)
+    rounds = F.array_sort(F.collect_list(F.when(whole, F.struct("utc", "n"))))
+    return read.agg(F.count_if(whole).alias("rounds"), F.transform(rounds, lambda r: r["n"]).alias("findings"), F.count_if(F.col("broken") | (F.coalesce(judged, F.lit(False)) & ~F.coalesce(whole, F.lit(False)))).alias("unreadable"))
+
+
+def suite_runs(lines: DataFrame, branch: str) -> DataFrame:
+    """One row: runs of a branch in a log of test runs (line), and the lines that name no branch or do not parse."""
+    v = F.try_parse_json("line")
+    named = F.startswith(F.schema_of_variant(F.try_variant_get(v, "$.branch", "variant")), F.lit("STRING"))
+    rows = lines.where(F.trim("line") != "").select(F.try_variant_get(v, "$.branch", "string").alias("branch"), F.coalesce(named, F.lit(False)).alias("named"))
+    return rows.agg(F.count_if(F.col("named") & (F.col("branch") == branch)).alias("runs"), F.count_if(~F.col("named")).alias("unreadable"))
+
+
 def compared(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Two builds of a result side by side: rows of either, their values and what became of them."""
     both = before.withColumnRenamed(value, "old").join(after.withColumnRenamed(value, "new"), keys, "full")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .scan import null_safe
 
 
 def newest_per_id(catalog: DataFrame, key: str = "session_id", when: str = "mtime_ms", path: str = "path") -> DataFrame:
@@ -70,12 +71,28 @@ def children_of(files: DataFrame, heads: DataFrame) -> DataFrame:
     return by_path.unionByName(by_header).groupBy("parent", "real_path").agg(F.min("path").alias("path"))
 
 
-def child_rows(children: DataFrame, totals: DataFrame, key: str, shown: int = 20) -> DataFrame:
-    """Children with their totals, dearest first and unknown ones last: ``place``, and ``more``, how many are not shown."""
+def with_children(turns: DataFrame, held: DataFrame) -> DataFrame:
+    """``root`` and its turns, and those of the children whose transcripts it holds (root, path), in one table ordered by time wherever it is sorted by (ts_ms, path, seq).
+
+    ``turns`` has session_id and path. What children read from an empty cache is how they begin, not something they lost: their ``cache_miss`` is cleared.
+    """
+    ids = held.select("root").distinct()
+    own = turns.join(ids, turns["session_id"] == ids["root"], "left_semi").withColumn("root", F.col("session_id"))
+    theirs = turns.join(held.select("root", F.col("path").alias("_held")), F.col("path") == F.col("_held")).drop("_held")
+    return own.unionByName(theirs.withColumn("cache_miss", F.lit(False)))
+
+
+def child_rows(children: DataFrame, totals: DataFrame, key: str, shown: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """Children with their totals, dearest first and unknown ones last: ``place``, and ``more``, how many are not shown.
+
+    ``by`` names the columns of ``children`` that make up a parent; without any all are
+    one parent's. A parent's first rows are found within tasks before they meet.
+    """
     rows = children.join(totals, key, "left")
-    place = F.row_number().over(Window.orderBy(F.col("ticks").desc_nulls_last(), key))
-    # ranked among one session's children, a few rows
-    return rows.withColumn("place", place).withColumn("more", F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - shown, F.lit(0))).where(F.col("place") <= shown)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("ticks").desc_nulls_last(), key))
+    first = rows.withColumn("place", place).where(F.col("place") <= shown)
+    counts = rows.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - shown, F.lit(0)).alias("more"))
+    return null_safe(first, counts, list(by)) if by else first.crossJoin(F.broadcast(counts))  # one row
 
 
 def one_holder(held: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import ranges
 
 # Folders of derived data; lines and bytes of a head; how far from the end a directory is looked for; limits of a ledger.
 DERIVED = ("subagents", "tool-results", "memory")
-HEAD_LINES, TAIL_BYTES = 20, 512 << 10
+HEAD_LINES, TAIL_WINDOWS = 20, (8 << 10, 64 << 10, 512 << 10)
 LEDGER_BYTES, FIELD_BYTES, RECORD_BYTES = 8 << 20, 512, 4096
 
 
@@ -48,6 +52,71 @@ def last_directory(lines: DataFrame) -> DataFrame:
     return lines.where(F.contains("line", F.lit('"cwd"'))).groupBy("file").agg(F.max_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("last_cwd"))
 
 
+def last_directories(files: DataFrame, windows: tuple[int, ...] = TAIL_WINDOWS) -> DataFrame:
+    """path, last_cwd, bytes_read: the directory named last within the end of each file (path), by range reads.
+
+    The end is read backwards, a window at a time, each only as far as the one before did
+    not reach, until a whole line in it names a directory: at most the largest window of
+    a file. Beyond it, or where a file is gone, last_cwd is null.
+    """
+
+    def read(batches):
+        for batch in batches:
+            out = [_last_cwd(path, windows) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["path", "last_cwd", "bytes_read"])
+
+    return files.select("path").mapInArrow(read, "path string, last_cwd string, bytes_read long")
+
+
+def _last_cwd(path: str, windows: tuple[int, ...]) -> tuple[str | None, int]:
+    fs, place = ranges.store(path)
+    try:
+        file = fs.open_input_file(place)
+    except (FileNotFoundError, OSError):
+        return None, 0
+    with file:
+        size, data, low = file.size(), b"", file.size()
+        for window in windows:
+            start = max(0, size - window)
+            data, low = ranges.read_range(file, start, low) + data, start
+            # the first line may have begun before the window
+            lines = data.split(b"\n")[0 if start == 0 else 1:]
+            for line in reversed(lines):
+                if b'"cwd"' in line and (cwd := _cwd_of(line)):
+                    return cwd, size - low
+            if start == 0:
+                break
+        return None, size - low
+
+
+def _cwd_of(line: bytes) -> str | None:
+    try:
+        entry = json.loads(line)
+    except ValueError:
+        return None
+    cwd = entry.get("cwd") if isinstance(entry, dict) else None
+    return cwd if isinstance(cwd, str) and cwd else None
+
+
+def changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """What became of files between two listings (path, size, mtime_ms, inode; a null inode where the store has none): path, change, was.
+
+    ``new``, ``changed`` (any part of the stamp differs, so that a file rewritten within a
+    second is seen), ``gone``, and ``moved`` where a new path has the stamp of one that is gone
+    (``was``). Of several such the first path by name is the one that moved.
+    """
+    stamp = F.struct("size", "mtime_ms", "inode")
+    old = before.select("path", stamp.alias("old"), F.lit(True).alias("had"))
+    both = now.select("path", stamp.alias("new"), F.lit(True).alias("has")).join(old, "path", "full")
+    state = F.when(F.col("had").isNull(), "new").when(F.col("has").isNull(), "gone").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    rows = both.select("path", state.alias("change"), F.coalesce("new", "old").alias("stamp")).where("change is not null")
+    known = rows.where("stamp.inode is not null")
+    pairs = known.where("change = 'gone'").groupBy("stamp").agg(F.min("path").alias("was")).join(known.where("change = 'new'").groupBy("stamp").agg(F.min("path").alias("path")), "stamp").select("path", "was")
+    moved = rows.where("change = 'new'").join(pairs, "path", "left").select("path", F.when(F.col("was").isNotNull(), "moved").otherwise("new").alias("change"), "was")
+    rest = rows.where("change <> 'new'").join(pairs.select(F.col("was").alias("path"), F.lit(True).alias("taken")), "path", "left").where("taken is null").select("path", "change", F.lit(None).cast("string").alias("was"))
+    return moved.unionByName(rest)
+
+
 def harness_of(lines: DataFrame) -> DataFrame:
     """Which schema wrote a transcript: that of the first line that fits one."""
     kind = F.get_json_object("line", "$.type")

@@ -7,82 +7,141 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources import transcripts
 
-_FLAT = "seq long, ts_ms long, message_id string, model string, is_sidechain boolean, in_tok long, out_tok long, cr_tok long, cw_tok long, rs_tok long"
-_OUT = f"session_id string, {_FLAT}, interrupted boolean, after_compaction boolean, prev_ctx long, settled boolean"
-#: The turn that may still change and whether there is one, the compaction after it, the model set, the context before the next turn, the last line seen.
-_STATE = f"turn struct<{_FLAT}, interrupted boolean, after_compaction boolean, prev_ctx long>, closing boolean, model string, context long, last long"
-_NAMES = [f.split()[0] for f in _FLAT.split(", ")] + ["interrupted", "after_compaction", "prev_ctx"]
+_OWN = ("seq long, ts_ms long, message_id string, request_id string, in_tok long, out_tok long, cr_tok long, cw_tok long, rs_tok long, cw1h_tok long, cache_ttl string, cache_miss boolean, "
+        "is_sidechain boolean, web_searches long, web_fetches long, iterations int, native_usd double, kind string, model string")
+_CARRIED = "interrupted boolean, after_compaction boolean, compaction_before long, thinking_level string, prev_ctx long"
+_TURN = f"{_OWN}, {_CARRIED}"
+_OUT = f"session_id string, generation int, {_TURN}, settled boolean, delta int"
+#: Whether a turn is open, and it; then what will mark or price the next one; the last place seen, and in which generation.
+_STATE = f"open boolean, {_TURN}, closing boolean, freed long, model_set string, thinking_set string, context long, last long, generation int"
+_NAMES = [f.split()[0] for f in _TURN.split(", ")]
+_WHOLE = {c for c, kind in (f.split() for f in _OUT.split(", ")) if kind in ("long", "int")}
+_FLAGS = {c for c, kind in (f.split() for f in _OUT.split(", ")) if kind == "boolean"}
 #: How long a session may be silent before its state is given up.
 IDLE_MS = 24 * 3600 * 1000
 
 
 def flat_entries(lines: DataFrame) -> DataFrame:
-    """What ``session_turns`` needs of each line (file, line_no, line) of a batch or a stream; texts and tools stay behind."""
-    e = transcripts.entries(lines)
-    return e.select(
-        F.col("file").alias("session_id"), F.col("line_no").cast("long").alias("seq"), transcripts._ms(F.coalesce("e.message.timestamp", "e.timestamp")).alias("ts_ms"),
-        F.col("e.message.id").alias("message_id"), F.col("e.message.model").alias("model"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("in_tok", "out_tok", "cr_tok", "cw_tok", "rs_tok")],
-        F.col("harness").isNotNull().alias("is_turn"), "interrupt", "compacted", "model_set")
+    """What ``session_turns`` needs of each line of a batch or a stream: (file, line_no, line), or (file, generation, pos, line) as ``source.grown_lines`` gives them.
 
-
-def session_turns(rows: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Turns of a stream of ``flat_entries``, each with interrupted, after_compaction, prev_ctx and the model in force.
-
-    A session's last turn may yet be interrupted: it is put out with ``settled`` false
-    after every micro-batch that changes it, and once more, settled, when the next turn
-    comes; ``newest`` keeps the last word. Lines of a session must arrive in the order of
-    ``seq`` over micro-batches, in any order within one; those at or before the last one
-    seen are repeats and are passed over. A session silent for ``idle_ms`` loses its state
-    and would begin anew; None keeps it for good, and must be passed where the trigger is
-    availableNow, which does not end while a timeout may strike. A micro-batch's slim rows of one session meet in one task: bound
-    them by the source's limit for a trigger.
+    Texts, tools and commands stay behind; of the tools the turn's kind is kept. A row
+    without a line opens its generation.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turn, closing, model, context, last = state.get if state.exists else (None, False, None, 0, -1)
-        turn = dict(zip(_NAMES, turn)) if turn is not None else None
-        batch = pd.concat(list(frames)).astype(object)
-        batch = batch.where(batch.notna(), None).drop_duplicates("seq").sort_values("seq")
-        out, changed = [], False
-        for r in batch[batch["seq"] > last].to_dict("records"):
-            last = int(r["seq"])
+    order = "pos" if "pos" in lines.columns else "line_no"
+    numbered = lines.select("file", F.col(order).alias("line_no"), "line", (F.col("generation") if "generation" in lines.columns else F.lit(0)).cast("int").alias("generation"))
+    told = transcripts.entries(numbered).withColumns({"is_turn": F.col("harness").isNotNull(), "stop": F.col("interrupt"), "shut": F.col("compacted"), "set_model": F.col("model_set"), "set_thinking": F.col("thinking_set"), "freed_here": F.col("freed")})
+    rows = transcripts.described(told).withColumnRenamed("own_model", "model")
+    none = {"is_turn": F.lit(False), "stop": F.lit(False), "shut": F.lit(False)}
+    opened = numbered.where("line is null").select(F.col("file").alias("session_id"), F.lit(-1).cast("long").alias("seq"), "generation", *[v.alias(k) for k, v in none.items()])
+    wanted = ["session_id", "generation", *(n for n in _NAMES if n in rows.columns), *none, "set_model", "set_thinking", "freed_here"]
+    return rows.select(*wanted).unionByName(opened, allowMissingColumns=True)
+
+
+class SessionTurns(StatefulProcessor):
+    """The state of one session: its open turn, what the lines since have set, and where it stands."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", _STATE)
+
+    def close(self) -> None:
+        pass
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in _STATE.split(", ")]
+        held = dict(zip(names, self.state.get())) if self.state.exists() else dict.fromkeys(names) | {"open": False, "closing": False, "context": 0, "last": -2, "generation": 0}
+        told = {n: held[n] for n in _NAMES} if held["open"] else None  # what was put out of the open turn
+        turn = dict(told) if told else None
+        fresh, out = False, []
+
+        def put(values: dict | None, settled: bool, delta: int) -> None:
+            out.append({**(values or {"seq": -1}), "generation": held["generation"], "settled": settled, "delta": delta})
+
+        def say(settled: bool) -> None:
+            """Put the turn out if it is new or has changed, taking back what was said of it."""
+            if not fresh and (settled or turn != told):
+                put(told, False, -1)
+            if fresh or settled or turn != told:
+                put(turn, settled, 1)
+
+        batch = pd.concat(list(rows)).astype(object)
+        batch = batch.where(batch.notna(), None).drop_duplicates(["generation", "seq"]).sort_values(["generation", "seq"])
+        for r in batch.to_dict("records"):
+            if r["generation"] > held["generation"]:
+                out.clear()  # all before is void, and downstream learns it by the generation alone
+                turn, told, fresh = None, None, False
+                held.update(dict.fromkeys(names) | {"open": False, "closing": False, "context": 0, "last": -1, "generation": int(r["generation"])})
+                put(None, True, 0)
+            if r["generation"] < held["generation"] or r["seq"] <= held["last"]:
+                continue
+            held["last"] = int(r["seq"])
             if r["is_turn"]:
                 if turn is not None:
-                    out.append({**turn, "settled": True})
-                turn = {n: r.get(n) for n in _NAMES}
-                turn.update(model=r["model"] if r["model"] is not None else model, interrupted=False, after_compaction=closing, prev_ctx=context)
+                    say(True)
+                # columns with nulls come as floats
+                turn, fresh = {n: int(r[n]) if n in _WHOLE and r.get(n) is not None else r.get(n) for n in _NAMES}, True
+                turn.update(model=r["model"] if r["model"] is not None else held["model_set"], interrupted=False, after_compaction=bool(held["closing"]), compaction_before=held["freed"],
+                            thinking_level=held["thinking_set"], prev_ctx=held["context"])
                 if not r["is_sidechain"]:
-                    context = int(r["in_tok"] + r["cr_tok"] + r["cw_tok"])
-                closing, changed = False, True
-            if r["interrupt"] and turn is not None and not turn["interrupted"]:
-                turn["interrupted"], changed = True, True
-            closing = closing or bool(r["compacted"])
-            model = r["model_set"] if r["model_set"] is not None else model
-        if changed:
-            out.append({**turn, "settled": False})
-        state.update((tuple(turn[n] for n in _NAMES) if turn is not None else None, closing, model, context, last))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+                    held["context"] = int(r["in_tok"] + r["cr_tok"] + r["cw_tok"])
+                held["closing"], held["freed"] = False, None
+            if r["stop"] and turn is not None:
+                turn["interrupted"] = True
+            held["closing"] = bool(held["closing"] or r["shut"])
+            for name, value in (("model_set", r["set_model"]), ("thinking_set", r["set_thinking"]), ("freed", None if r["freed_here"] is None else int(r["freed_here"]))):
+                held[name] = value if value is not None else held[name]
+        if turn is not None:
+            say(False)
+        held.update(turn or dict.fromkeys(_NAMES), open=turn is not None)
+        self.state.update(tuple(held[n] for n in names))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if out:
-            yield pd.DataFrame(out).assign(session_id=key[0])[["session_id", *_NAMES, "settled"]]
+            columns = [f.split()[0] for f in _OUT.split(", ")]
+            frame = pd.DataFrame(out).assign(session_id=key[0]).reindex(columns=columns)
+            # texts as plain objects: pandas' own strings may come in chunks, which the worker cannot send
+            yield frame.astype(dict.fromkeys(columns, "object") | dict.fromkeys(_WHOLE, "Int64") | dict.fromkeys(_FLAGS, "boolean") | {"native_usd": "float64"})
 
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "update", timeout)
+
+def session_turns(rows: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Changes of the turns of a stream of ``flat_entries``: each turn with what the lines around it say (interrupted, after_compaction, prev_ctx, the model and thinking level in force), ``settled`` and ``delta``.
+
+    A session's last turn may yet be interrupted: it is put out open (settled false,
+    delta 1) after each micro-batch that changes it; what was said before is taken back
+    by an equal row of delta -1, and the next turn settles it. So the sum of deltas of
+    equal rows is 1 for what holds and 0 for what does not. A row of delta 0 and seq -1
+    opens a generation: all rows of earlier ones are void. Lines of a session must arrive
+    in the order of ``seq`` over micro-batches, in any order within one; those at or
+    before the last one seen are repeats and are passed over. A session silent for
+    ``idle_ms`` loses its state and would begin anew; None keeps it for good, and must be
+    passed where the trigger is availableNow, which does not end while a timer may
+    strike. Needs the RocksDB state store. A micro-batch's slim rows of one session meet
+    in one task: bound them by the source's limit for a trigger.
+    """
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionTurns(idle_ms), _OUT, "Update", mode)
 
 
-def newest(facts: DataFrame) -> DataFrame:
-    """The last word on each turn: settled before open, interrupted before not."""
-    rest = [c for c in facts.columns if c not in ("session_id", "seq", "settled", "batch")]
+def newest(changes: DataFrame) -> DataFrame:
+    """The last word on each turn of each session's last generation."""
+    rest = [c for c in changes.columns if c not in ("session_id", "generation", "seq", "settled", "batch", "delta")]
+    last = changes.groupBy("session_id").agg(F.max("generation").alias("generation"))
+    live = changes.where("delta = 1").join(last, ["session_id", "generation"])
     best = F.max_by(F.struct(*rest, "settled"), F.struct("settled", "interrupted"))
-    return facts.groupBy("session_id", "seq").agg(best.alias("b")).select("session_id", "seq", "b.*")
+    return live.groupBy("session_id", "generation", "seq").agg(best.alias("b")).select("session_id", "generation", "seq", "b.*")
 
 
 def poll(spark: SparkSession, root: str, table: str, generation: int, modified_after: str | None = None) -> None:
