@@ -5,24 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written below the folder that the session's cluster shares, and read back: a round is computed once, and a lost executor costs no more than a round.
+def folder(spark: SparkSession) -> str:
+    """The folder that the session's cluster shares: Spark's checkpoint folder, or the setting ``spark.checkpoint.dir``.
 
-    The folder is Spark's checkpoint folder, or the setting ``spark.checkpoint.dir``. A
-    local master without either gets a temporary one; any other raises. Not a checkpoint:
-    its plan keeps all constraints of the rounds before, which grow from round to round.
+    A local master without either gets a temporary one; any other raises.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not found:
         if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyloom-")
-        context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+        found = tempfile.mkdtemp(prefix="tallyloom-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read back: a round is computed once, and a lost executor costs no more than a round.
+
+    Not a checkpoint: its plan keeps all constraints of the rounds before, which grow from round to round.
+    """
+    path = f"{folder(df.sparkSession)}/round-{fresh()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from ..operators import audit, children, reports, trees
 from ..operators import turns as ops
 from ..sources import catalog, facts
 from .function_queries import SHELL, pick, sql_pick, sql_text
-from .queries import priced, query, table, turns
+from .queries import T, priced, query, table, turns
 
 # A spawn ledger and its sessions from events and customers: node 0 to 96 spawn users; every third customer left no transcript, every fifth is unreadable.
 DEPTH = 3
@@ -58,9 +58,9 @@ def tree_gaps(spark, sf_dir):
     return trees.gaps(*_tree(spark, sf_dir))
 
 
-@query(_TREE + "SELECT root, child, mtime_ms FROM o WHERE skip IS NULL AND abs(400000 - mtime_ms) < 122000")
+@query(_TREE + "SELECT root, child, mtime_ms FROM o WHERE skip IS NULL AND abs(200000 - mtime_ms) < 122000")
 def tree_live(spark, sf_dir):
-    return trees.live(_tree(spark, sf_dir)[0], 400_000).select("root", "child", "mtime_ms")
+    return trees.live(_tree(spark, sf_dir)[0], 200_000).select("root", "child", "mtime_ms")
 
 
 @query("WITH x AS (SELECT c_custkey, (SELECT sum(round(o_totalprice * 100))::BIGINT FROM orders WHERE o_custkey = c_custkey) AS ticks FROM customer) SELECT *, row_number() OVER (ORDER BY ticks DESC NULLS LAST, c_custkey)::INT AS place, greatest((SELECT count(*) FROM x) - 20, 0) AS more FROM x ORDER BY ticks DESC NULLS LAST, c_custkey LIMIT 20")
@@ -346,9 +346,13 @@ def head_facts(spark, sf_dir):
     return catalog.heads(_lines(spark, sf_dir)).select("file", "cwd", "started_ms")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {T}, x AS (SELECT session_id, seq, event_id, (in_tok % 3) * 2 + out_tok % 2 AS key FROM t),
+ l AS (SELECT session_id, seq, key, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM x WHERE event_id % 3 = 0), r AS (SELECT session_id, seq, key FROM x WHERE event_id % 2 = 0),
+ w(session_id, n, seq, turn_seq, last) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, -1::BIGINT FROM l UNION ALL
+  SELECT g.session_id, g.n, g.seq, g.hit, coalesce(g.hit, g.last) FROM (SELECT l.session_id, l.n, l.seq, w.last, min(r.seq) AS hit FROM w JOIN l ON l.session_id = w.session_id AND l.n = w.n + 1
+   LEFT JOIN r ON r.session_id = l.session_id AND r.key = l.key AND r.seq > w.last GROUP BY 1, 2, 3, 4) AS g)
+ SELECT session_id, seq, turn_seq FROM w WHERE n > 0""")
 def usage_alignment(spark, sf_dir):
-    """Greedy forward matching has no SQL form; tests compare it with a plain loop."""
     rows = priced(spark, sf_dir).withColumns({"in_tok": F.col("in_tok") % 3, "out_tok": F.col("out_tok") % 2})
     return audit.aligned(rows.where("event_id % 3 = 0"), rows.where("event_id % 2 = 0"), ["in_tok", "out_tok"])
 
