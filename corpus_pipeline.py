@@ -56,17 +56,18 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     It is read from the files' own metadata, so that every reading gives a row the same
     number and no copy of the texts is made; what is not read from Parquet is written first.
     """
-    place = [F.col("_metadata.file_path").alias(f"{row}_file"), F.col("_metadata.row_index").alias(f"{row}_at")]
+    file, at, first = (free_name(docs, f"{row}_{part}") for part in ("file", "at", "first"))
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)]
     try:
         placed = docs.select("*", *place)
     except AnalysisException:
         docs = materialise(docs, "rows")
         placed = docs.select("*", *place)
     # one name a file: the driver holds them for any scan
-    names = sorted(r[0] for r in placed.select(f"{row}_file").distinct().collect())
-    files = docs.sparkSession.createDataFrame([(n, i << FILE_BITS) for i, n in enumerate(names)], f"`{row}_file` string, `{row}_first` long")
-    found = placed.join(F.broadcast(files), f"{row}_file")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(f"{row}_first") + F.col(f"{row}_at")).alias(row))
+    names = sorted(r[0] for r in placed.select(file).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(n, i << FILE_BITS) for i, n in enumerate(names)], f"`{file}` string, `{first}` long")
+    found = placed.join(F.broadcast(files), file)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(first) + F.col(at)).alias(row))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
