@@ -442,10 +442,10 @@ def test_url_link_forms(spark):
 def test_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
-    schema = "doc_id long, text string, quality_score double, __row int, size string, n long, item_id long"
+    schema = "doc_id long, text string, quality_score double, __row int, ___row_file string, ___ROW_at long, size string, n long, item_id long"
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (2, ""), (None, " \n"), (None, "some words here"), (3, "some words here"), (4, long), (5, long + " end"), (None, None)]
-    docs = spark.createDataFrame([(*r, 0.1, 1, "x", 2, 3) for r in rows], schema)
+    docs = spark.createDataFrame([(*r, 0.1, 1, "f", 9, "x", 2, 3) for r in rows], schema)
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
     docs = spark.read.parquet(str(tmp_path / "in"))
     for name, stage in corpus_pipeline.STAGES:
@@ -453,7 +453,7 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert empty.count() == 0
         if name != "packing":
             assert got.columns == docs.columns and empty.columns == docs.columns
-            assert {tuple(r)[2:] for r in got.collect()} <= {(0.1, 1, "x", 2, 3)}
+            assert {tuple(r)[2:] for r in got.collect()} <= {(0.1, 1, "f", 9, "x", 2, 3)}
         kept = Counter((r[0], r[1]) for r in got.select("doc_id", "text").collect()) if name != "packing" else None
         if name == "exact_dedup":  # of the empty texts the longest stays
             assert kept == Counter([(None, " \n"), (None, "some words here"), (4, long), (5, long + " end")])
