@@ -109,23 +109,24 @@ def load(names: list[str]) -> list[str]:
     return failed
 
 
-def _text(spark: SparkSession, path: str, skip: tuple[str, ...], modified_after: str | None) -> DataFrame:
+def _text(spark: SparkSession, path: str, skip: tuple[str, ...], modified_after: str | None, only: DataFrame | None = None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
-    text = (reader.option("modifiedAfter", modified_after) if modified_after else reader).text(path).withColumn("file", F.col("_metadata.file_path"))
-    return text.where(~F.col("file").rlike("/(?:" + "|".join(skip) + ")/")) if skip else text
+    text = (reader.option("modifiedAfter", modified_after) if modified_after else reader).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    text = text.where(~F.col("file").rlike("/(?:" + "|".join(skip) + ")/")) if skip else text
+    return text if only is None else text.join(only.select("file"), "file", "left_semi")
 
 
-def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, skip: tuple[str, ...] = DERIVED, modified_after: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """file, line_no, line of every non-blank line below ``path``, numbered in the order of the files.
 
     Files are read in splits, a line a row. A line's number is the count of lines in the
     splits before its own, and its rank in its own: no task holds more of a file than a
-    split. Folders of derived data are skipped, and files not changed after ``modified_after``.
+    split. Folders of derived data are skipped, and files not changed after ``modified_after`` or not in ``only`` (file).
     """
-    text = _text(spark, path, skip, modified_after)
-    rows = text.select("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    text = _text(spark, path, skip, modified_after, only)
+    rows = text.select("file", "block", F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    sizes = text.select("file", F.col("_metadata.file_block_start").alias("block")).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = text.select("file", "block").groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("rank", rank).join(sizes.select("file", "block", F.coalesce(ahead, F.lit(0)).alias("ahead")), ["file", "block"])
     return placed.select("file", (F.col("ahead") + F.col("rank")).alias("line_no"), "line").where(F.trim("line") != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..sources import transcripts
+from ..operators.scratch import written
+from ..sources import catalog, transcripts
 
 _OWN = ("seq long, ts_ms long, message_id string, request_id string, in_tok long, out_tok long, cr_tok long, cw_tok long, rs_tok long, cw1h_tok long, cache_ttl string, cache_miss boolean, "
         "is_sidechain boolean, web_searches long, web_fetches long, iterations int, native_usd double, kind string, model string")
@@ -156,6 +158,31 @@ def poll(spark: SparkSession, root: str, table: str, generation: int, modified_a
     transcripts.read_files(spark, root, modified_after=modified_after).write.mode("overwrite").parquet(f"{table}/files/generation={generation}")
 
 
+def poll_changes(spark: SparkSession, root: str, table: str, generation: int) -> None:
+    """Read anew the transcripts that differ from the last poll's listing and write their turns as a generation.
+
+    The listings are compared by path, size and time, so that a file rewritten within the
+    second is read again, and one that is gone or moved takes back what it said. Only
+    files at least as young as the oldest that changed are opened, and of these only the
+    changed ones are kept. A generation that is written again replaces itself.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  a local path, as lines have it
+    now = catalog.listing(spark, root, skip=transcripts.DERIVED).select(plain("path").alias("path"), "size", "mtime_ms", F.lit(None).cast("bigint").alias("inode"))
+    now.write.mode("overwrite").parquet(f"{table}/stamps/generation={generation}")
+    stamps = spark.read.schema(now.schema.add("generation", "integer")).parquet(f"{table}/stamps")
+    last = stamps.where(F.col("generation") < generation).agg(F.max("generation")).first()[0]
+    now, before = (stamps.where(F.col("generation") == g).drop("generation") for g in (generation, -1 if last is None else last))
+    changed = written(catalog.changes(before, now))
+    fresh = changed.where("change <> 'gone'").select(F.col("path").alias("file"))
+    low = now.join(fresh.withColumnRenamed("file", "path"), "path", "left_semi").agg(F.min("mtime_ms")).first()[0]
+    if low is not None:
+        since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(low // 1000 - 1))
+        transcripts.turns(transcripts.read_lines(spark, root, modified_after=since, only=fresh)).write.mode("overwrite").parquet(f"{table}/turns/generation={generation}")
+    # last: a generation counts once its files are named, among them those that are gone and those that moved away
+    named = changed.select(F.col("path").alias("file")).union(changed.where("was is not null").select("was"))
+    named.write.mode("overwrite").parquet(f"{table}/files/generation={generation}")
+
+
 def polled(spark: SparkSession, table: str) -> DataFrame:
     """Turns of each transcript's last generation; none for one that holds no turns any more."""
     last = spark.read.schema("file string, generation int").parquet(f"{table}/files").groupBy("file").agg(F.max("generation").alias("generation"))

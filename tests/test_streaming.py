@@ -94,6 +94,29 @@ def test_polls_retract_what_a_file_no_longer_says(spark, tmp_path):
     assert told() == ["b1"]
 
 
+def test_polls_by_listing_see_deleted_moved_and_same_second_files(spark, tmp_path):
+    logs, table = tmp_path / "logs", str(tmp_path / "table")
+    logs.mkdir()
+    sessions = lines_of_sessions()
+    put = lambda name, es, at: ((logs / f"{name}.jsonl").write_text("\n".join(map(json.dumps, es)) + "\n"), os.utime(logs / f"{name}.jsonl", (at, at)))
+    told = lambda: sorted(r["message_id"] for r in tail.polled(spark, table).collect())
+    at = 1_700_000_000
+    put("a", sessions["a"][:4], at)
+    put("b", sessions["b"][:2], at)
+    tail.poll_changes(spark, str(logs), table, 1)
+    assert told() == ["a1", "a2", "b1"]
+    put("a", sessions["a"], at)  # within the second: the size alone tells
+    tail.poll_changes(spark, str(logs), table, 2)
+    assert told() == ["a1", "a2", "a3", "a3", "b1"]
+    assert {os.path.basename(r.file) for r in spark.read.parquet(f"{table}/files/generation=2").collect()} == {"a.jsonl"}
+    (logs / "b.jsonl").rename(logs / "c.jsonl")
+    (logs / "a.jsonl").unlink()
+    tail.poll_changes(spark, str(logs), table, 3)
+    assert told() == ["b1"] and {os.path.basename(r.session_id) for r in tail.polled(spark, table).collect()} == {"c.jsonl"}
+    tail.poll_changes(spark, str(logs), table, 4)
+    assert told() == ["b1"]
+
+
 def test_late_rows_fall_behind_the_watermark(spark, tmp_path):
     schema = "model string, in_tok long, cr_tok long, session_id long, ts timestamp"
     batches = [("m", 1, 0, 1, "2026-01-01 00:00:05"), ("m", 2, 0, 1, "2026-01-01 00:01:00"), ("m", 4, 0, 1, "2026-01-01 00:00:50"), ("m", 8, 0, 1, "2026-01-01 00:00:06"), ("m", 16, 0, 1, "2026-01-01 00:05:00")]
