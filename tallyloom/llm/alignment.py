@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import BLOCK_BYTES, blocks, materialise
 
 #: Bytes over which ends are counted at once.
 WINDOW = 1 << 20
-#: Segments whose ids a task remembers, and id pairs up to which their counts are broadcast (20 bytes each).
-REMEMBERED, BROADCAST_PAIRS = 1 << 18, 2_000_000
+#: Distinct segments whose ids a task remembers, and id pairs up to which their counts are broadcast (20 bytes each).
+REMEMBERED, BROADCAST_PAIRS = 1 << 19, 2_000_000
 
 
 class Vocabularies:
@@ -48,19 +49,36 @@ class Vocabularies:
         # ids in decimal, with what follows them: , or | behind A's ids, , or ; behind B's
         n_a, n_b = len(self.tokens_a), len(self.tokens_b)
         self.written = pa.array([b"%d%s" % (i, end) for n, ends in ((n_a, (b",", b"|")), (n_b, (b",", b";"))) for end in ends for i in range(n)], pa.large_binary())
-        self.known: dict[bytes, tuple[np.ndarray, np.ndarray, bool]] = {}
+        self.forget()
 
-    def encode(self, segments: list[bytes]) -> None:
-        """Remember the ids of ``segments``, each of which begins with a space, and whether both give its bytes back."""
-        new = [s for s in dict.fromkeys(segments) if s not in self.known]
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        none = np.zeros(0, dtype=np.int32)
+        self.ids, self.sizes = [none, none], [none, none]  # of all segments remembered, one behind the other, and how many each has
+        self.same = np.zeros(0, dtype=bool)  # whether both tokenizers give back its bytes
+
+    def encode(self, segments: list[bytes]) -> np.ndarray:
+        """Numbers under which the ids of the distinct ``segments`` are remembered; each of these begins with a space."""
+        new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(segments))
-        texts = [s.decode("utf-8", "replace") for s in new]
-        for s, text, b in zip(new, texts, self.b.encode([t[1:] for t in texts], num_threads=1)):
-            a = self.a.encode_ordinary(text)
-            same = b"".join(map(self.tokens_a.__getitem__, a)) == s == b"".join(map(self.tokens_b.__getitem__, b))
-            self.known[s] = np.array(a, dtype=np.int32), np.array(b, dtype=np.int32), same
+            self.forget()
+            new = segments
+        if new:
+            texts = [s.decode("utf-8", "replace") for s in new]
+            lists = [self.a.encode_ordinary(t) for t in texts], self.b.encode([t[1:] for t in texts], num_threads=1)
+            size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+            whole, same = b"".join(new), np.ones(len(new), dtype=bool)
+            for k, (found, tokens, sizes) in enumerate(zip(lists, (self.tokens_a, self.tokens_b), (self.size_a, self.size_b))):
+                n = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+                ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(n.sum()))
+                told = np.bincount(np.repeat(np.arange(len(new)), n), weights=sizes[ids], minlength=len(new)).astype(np.int64)
+                if not np.array_equal(told, size) or b"".join(map(tokens.__getitem__, ids.tolist())) != whole:
+                    same &= np.fromiter((b"".join(map(tokens.__getitem__, f)) == s for f, s in zip(found, new)), dtype=bool, count=len(new))
+                self.ids[k], self.sizes[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.sizes[k], n])
+            self.same = np.concatenate([self.same, same])
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new))))
+        return np.fromiter(map(self.known.__getitem__, segments), dtype=np.int64, count=len(segments))
 
 
 @cache
@@ -82,26 +100,36 @@ def cut_places(data: np.ndarray, cuttable: bool) -> np.ndarray:
     return np.flatnonzero((here == 32) & (before > 32) & (after > 32) & ((before < 127) | (after < 127))) + 1
 
 
+def gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``at`` of those that stand in ``ids`` behind one another, and the length of each."""
+    start, n = np.cumsum(sizes, dtype=np.int64) - sizes, sizes[at]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+    return ids[np.repeat(start[at], n) + inside], n
+
+
 def encoded(texts: list[bytes], v: Vocabularies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of A and of B over all texts, how many each text has of them, and the bytes of each text (0 where bytes are not given back)."""
-    ids_a, ids_b, n_a, n_b, size = [], [], [], [], []
-    split = []
-    for text in texts:
-        whole = b" " + text
-        cut = [0, *cut_places(np.frombuffer(whole, dtype=np.uint8), v.cuttable).tolist(), len(whole)]
-        split.append([whole[p:q] for p, q in zip(cut, cut[1:])] if text else [])
-    v.encode([s for segments in split for s in segments])
-    for text, segments in zip(texts, split):
-        found = [v.known[s] for s in segments]
-        good = bool(found) and all(same for _, _, same in found)
-        a, b = ([x[k] for x in found] if good else [] for k in (0, 1))
-        ids_a += a
-        ids_b += b
-        n_a.append(sum(map(len, a)))
-        n_b.append(sum(map(len, b)))
-        size.append(len(text) + 1 if good else 0)
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int32)
-    return flat(ids_a), flat(ids_b), np.array(n_a, dtype=np.int64), np.array(n_b, dtype=np.int64), np.array(size, dtype=np.int64)
+    """Ids of A and of B over all texts, how many each text has of them, and the bytes of each text (0 where bytes are not given back).
+
+    The texts are cut into segments, most of them words; each distinct one is encoded once.
+    """
+    data = b"".join(b" " + t for t in texts if t)
+    flat, size = np.frombuffer(data, dtype=np.uint8), np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+    offset = np.concatenate([[0], np.cumsum(size)])
+    cut = np.unique(np.concatenate([offset, cut_places(flat, v.cuttable)]))
+    # a text's first byte is a space of ours: no cut is made across two texts but there
+    segments = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(data)])
+    coded = segments.dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    numbers = v.encode(coded.dictionary.to_pylist())
+    at = numbers[place]
+    ids, fine = [gathered(own, sizes, at) for own, sizes in zip(v.ids, v.sizes)], v.same[at]
+    row = np.searchsorted(offset, cut[:-1], side="right") - 1
+    good = np.bincount(row[~fine], minlength=len(texts)) == 0
+    out = []
+    kept = good[row]
+    for flat_ids, n in ids:
+        out.append((flat_ids[np.repeat(kept, n)], np.bincount(row[kept], weights=n[kept], minlength=len(texts)).astype(np.int64)))
+    return out[0][0], out[1][0], out[0][1], out[1][1], np.where(good, size, 0)
 
 
 def end_places(ends_a: np.ndarray, ends_b: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
