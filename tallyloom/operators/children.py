@@ -41,6 +41,25 @@ def discover(catalog: DataFrame, directories: DataFrame, since_ms: int | None =
     return newest_per_id(found)
 
 
+def discover_everywhere(catalog: DataFrame, directories: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Sessions of all checkouts of a repository, whatever their age, newest copy each: those whose folder is named by a directory (cwd) or begins with one of ``prefixes``, and those last in such a directory.
+
+    Without ``directories`` every session of the catalog counts.
+    """
+    if directories is None:
+        return newest_per_id(catalog)
+    slugs = directories.select(F.explode(names.slugs(F.col("cwd"))).alias("slug")).distinct().withColumn("_by_slug", F.lit(True))
+    last = directories.select(F.col("cwd").alias("last_cwd")).distinct().withColumn("_by_cwd", F.lit(True))
+    rows = catalog.join(slugs, "slug", "left").join(last, "last_cwd", "left")
+    named = reduce(lambda a, b: a | b, [F.startswith("slug", F.lit(p)) for p in prefixes], F.lit(False))
+    return newest_per_id(rows.where(F.coalesce("_by_slug", "_by_cwd", named)).select(*catalog.columns))
+
+
+def by_start(rows: DataFrame) -> DataFrame:
+    """Unrecorded children in the order in which they started, as ISO text orders; those of one time by path."""
+    return rows.orderBy("started", "path")
+
+
 def discover_all(catalogs: dict[str, DataFrame], since_ms: int | None = None) -> DataFrame:
     """The catalogs of all harnesses as one, newest first."""
     every = reduce(DataFrame.unionByName, [c.withColumn("harness", F.lit(h)) for h, c in catalogs.items()])

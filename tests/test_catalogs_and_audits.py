@@ -134,6 +134,17 @@ def test_children_and_facts(spark):
     assert {(r.parent, r.child, r.place, r.more) for r in rows} == {("p", "c", 1, 1), ("p", "a", 2, 1), ("q", "d", 1, 0)}
 
 
+def test_sessions_of_all_checkouts(spark):
+    rows = [("a", "p1", "-w-repo", "/elsewhere", 1), ("a", "p2", "-w-other", "/w/repo", 5), ("b", "p3", "-w-repo-wt-1", None, 2), ("c", "p4", "-w-none", "/w/none", 3), ("d", "p5", "-w-none", "/w/repo", 4), ("e", "p6", None, None, 9)]
+    catalog_ = spark.createDataFrame(rows, "session_id string, path string, slug string, last_cwd string, mtime_ms long")
+    dirs = spark.createDataFrame([("/w/repo",)], "cwd string")
+    assert {r.session_id: r.path for r in children.discover_everywhere(catalog_, dirs, ("-w-repo-",)).collect()} == {"a": "p2", "b": "p3", "d": "p5"}
+    assert {r.session_id for r in children.discover_everywhere(catalog_, dirs).collect()} == {"a", "d"}
+    assert {r.session_id for r in children.discover_everywhere(catalog_).collect()} == set("abcde")
+    listed = spark.createDataFrame([("2026-01-02", "b"), ("2026-01-01", "z"), ("2026-01-02", "a")], "started string, path string")
+    assert [r.path for r in children.by_start(listed).collect()] == ["z", "a", "b"]
+
+
 def test_counter_logs(spark):
     log = [{"_epoch_ms": 5, "cost": {"total_cost_usd": 1.5}, "current_usage": {"input_tokens": 3}}, {"other": 1}]
     rows = audit.status_log(spark.createDataFrame([("f", i, json.dumps(x)) for i, x in enumerate(log)] + [("f", 9, "torn")], "file string, line_no long, line string")).collect()
