@@ -14,7 +14,7 @@ from tallyloom.sources import transcripts
 T0 = "2026-09-20T10:00:00Z"
 
 
-@pytest.mark.parametrize("segment", [1, 3, 8, 1 << 16])
+@pytest.mark.parametrize("segment", [1, 8, 1 << 16])
 def test_scan_equals_windows(spark, segment):
     rng = random.Random(segment)
     rows = [(rng.choice(["a", "b", None]), i, rng.random() < 0.4, rng.choice([None, None, "x", "y", "z"])) for i in range(200)]
@@ -79,7 +79,7 @@ def test_turns_over_many_segments(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(f, i, json.dumps(x)) for f in "ab" for i, x in enumerate(lines)], "file string, line_no long, line string")
     columns = ("session_id", "seq", "interrupted", "after_compaction")
     found = []
-    for width in (1, 17, 1 << 16):
+    for width in (17, 1 << 16):
         monkeypatch.setattr(scan.scan, "__defaults__", (None, None, width))
         found.append(sorted(map(str, ops.previous_context(transcripts.turns(rows)).select(*columns, "prev_ctx").collect())))
-    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert found[0] == found[1] and len(found[0]) > 100
