@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, classify, pricing
+from ..operators import scan
 from ..operators import turns as ops
 
 MODELS = {"click": "claude-sonnet-4-6", "purchase": "gpt-5.4", "signup": "deepseek-v4-pro", "view": "vendor/claude-haiku-4-5-x", "error": "<synthetic>"}
@@ -298,7 +299,8 @@ def apportion_largest_remainder(spark, sf_dir):
   SELECT session_id, seq, (sum(write_ticks) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM t)""")
 def residual_staircase(spark, sf_dir):
     rows = ops.running(priced(spark, sf_dir), "seq", ("write_ticks",), ("session_id",)).withColumnRenamed("run_write_ticks", "total")
-    return rows.select("session_id", "seq", "total", (F.col("total") - F.lag("total").over(ops.in_session()) > 100_000_000).alias("step"))
+    rows = scan.scan(rows, ("session_id",), "seq", lasts={"before": F.col("total")})
+    return rows.select("session_id", "seq", "total", (F.col("total") - F.col("before") > 100_000_000).alias("step"))
 
 
 @query("SELECT session_id, event_id, cost_ticks FROM t UNION ALL SELECT -session_id, event_id, cost_ticks FROM t WHERE is_sidechain")
