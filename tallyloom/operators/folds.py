@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, shell
-from .scratch import written
+from .scratch import together, written
 
 SHARES = ("cost_ticks", "in_tok", "out_tok", "cr_tok", "cw_tok", "rs_tok")
 #: How far a child's first line may be from its turn.
 REACH_MS = 15_000
+#: Tables of rounds that are read beside each other before they are written as one.
+MOST_TABLES = 32
 
 
 def spawns(turns: DataFrame, directories: DataFrame) -> DataFrame:
@@ -46,21 +48,30 @@ def folded(claims: DataFrame, most_rounds: int = 1000) -> DataFrame:
     ``claims`` (parent, seq, child) may form cycles: no way passes through its root, and a
     round takes up only what it found or found earlier. Rounds go level by level until
     one brings nothing new, as many as the longest chain. Null ids claim nobody.
+
+    A round writes only what it found. Its joins are by sorting: the files of ids are small
+    for their rows, and a side chosen for broadcast by their size would pass through the
+    driver in every round.
     """
-    links = written(claims.where("parent is not null and child is not null and parent <> child").groupBy("parent", "child").agg(F.min("seq").alias("seq")))
-    known = links.select(F.col("parent").alias("root"), "child", "seq", F.lit(0).alias("round"))
-    hops = links.select(F.col("parent").alias("_via"), F.col("child").alias("_next"))
-    for n in range(1, most_rounds + 1):
-        new = known.where(F.col("round") == n - 1)
-        further = new.join(hops, new["child"] == hops["_via"]).where("_next <> root").select("root", F.col("_next").alias("child"), "seq", F.lit(n).alias("round"))
-        # the smallest turn wins; a row keeps its round unless the turn got smaller
-        best = known.unionByName(further).groupBy("root", "child").agg(F.min(F.struct("seq", "round")).alias("b"))
-        known = written(best.select("root", "child", "b.seq", "b.round"))
-        if not known.where(F.col("round") == n).limit(1).count():
-            return known.drop("round")
+    new = written(claims.where("parent is not null and child is not null and parent <> child").groupBy(F.col("parent").alias("root"), "child").agg(F.min("seq").alias("seq")))
+    hops = new.select(F.col("root").alias("_via"), F.col("child").alias("_next")).hint("merge")
+    found = [new]
+    for _ in range(most_rounds):
+        further = new.join(hops, new["child"] == hops["_via"]).where("_next <> root").select("root", F.col("_next").alias("child"), "seq", F.lit(None).cast(new.schema["seq"].dataType).alias("was"))
+        known = together(found)
+        # the smallest turn wins; a row is taken up again only if its turn got smaller
+        best = known.withColumn("was", F.col("seq")).unionByName(further).groupBy("root", "child").agg(F.min("seq").alias("seq"), F.min("was").alias("was"))
+        new = written(best.where("was is null or seq < was").drop("was"))
+        if not new.limit(1).count():
+            return smallest(known)
+        found = [*found, new] if len(found) < MOST_TABLES else [written(smallest(known)), new]
     raise ValueError(f"chains of claims go on beyond {most_rounds} rounds")
 
 
+def smallest(known: DataFrame) -> DataFrame:
+    return known.groupBy("root", "child").agg(F.min("seq").alias("seq"))
+
+
 def own_shares(turns: DataFrame) -> DataFrame:
     """What each session spent in its own collapsed turns."""
     return turns.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in SHARES])

@@ -34,4 +34,11 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{folder(df.sparkSession)}/round-{fresh()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one: a scan of all their files, where a union would plan and compile a scan for each."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.scratch for t in tables])

@@ -64,7 +64,7 @@ def _claims(spark, sf_dir):
     every = table(spark, sf_dir, "customer").select(key)
     twice = every.select(key.alias("parent"), (key % 3).alias("seq"), F.explode(F.array(2 * key, 2 * key + 1)).alias("child"))
     back = every.where(key % 97 == 0).select(key.alias("parent"), F.lit(5).cast("long").alias("seq"), F.floor(key / 4).alias("child"))
-    return twice.unionByName(back).join(every.withColumnRenamed("c_custkey", "child"), "child", "left_semi")
+    return twice.unionByName(back).join(every.withColumnRenamed("c_custkey", "child").hint("merge"), "child", "left_semi")
 
 
 @query(_CLAIMS + "SELECT root, child, seq FROM f")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import names
-from tallyloom.operators import children, folds, trees
+from tallyloom.operators import children, folds, scratch, trees
 from tallyloom.operators import turns as ops
+from tallyloom.plans import growth_queries
 from tallyloom.sources import catalog, transcripts
 
 T0 = 1_789_898_400_000
@@ -221,3 +222,29 @@ def test_cycles_diamonds_and_depth(spark):
         assert got.get(root, set()) == set(want) and states[root] == state
     empty, found = walk_of(spark, [], ["r"], [], sessions, {})
     assert not empty.collect() and [tuple(r) for r in found.collect()] == [("r", "r", "in-self")]
+
+
+@pytest.mark.parametrize("name", ["fold_forest"])
+def test_rounds_send_no_tables_through_the_driver(spark, monkeypatch, name):
+    """Nothing is broadcast, neither in a round nor in what is returned; a round writes what it found, not what was known."""
+    plans, sizes = [], []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        table = scratch.written(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(folds, "written", written)
+    out = growth_queries.__dict__[name](spark, "/root/testdata/sf0.001")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+    assert sizes[-1] == 0 and sizes[-2] < sizes[0]
+
+
+def test_many_rounds_are_read_as_one(spark, monkeypatch):
+    monkeypatch.setattr(folds, "MOST_TABLES", 2)
+    rng = random.Random(3)
+    claims = [(rng.randint(0, 14), rng.randint(0, 5), rng.randint(0, 14)) for _ in range(22)]
+    got = {(r.root, r.child): r.seq for r in folds.folded(spark.createDataFrame(claims, "parent long, seq long, child long")).collect()}
+    assert got == {(root, x): s for root in range(15) for x, s in reachable(claims, root).items()}
