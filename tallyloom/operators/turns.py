@@ -103,13 +103,19 @@ def rolling_tokens(turns: DataFrame, span_ms: int = 60_000) -> DataFrame:
 def rolling_sum(rows: DataFrame, by: tuple[str, ...], value: Column, out: str, span_ms: int) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the same ``by`` in the ``span_ms`` up to each row (both ends count).
 
-    Time is cut into buckets as wide as the span; a row stands in its own bucket and, to be
-    counted only, in the next. So a key with a third of all rows is spread over its buckets.
+    Time is cut into buckets as wide as the span; a row stands in its own bucket, where it
+    is added at its time, and in the next, where it counts from the start and is taken off
+    once the span behind it ends. So a key with a third of all rows is spread over its
+    buckets, and a running total serves for each: a frame that slides would be summed anew
+    for every row. A row without a time sums over nothing.
     """
     own = F.floor(F.col("ts_ms") / span_ms)
-    both = rows.withColumn("_value", value).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", own + F.col("_ahead"))
-    w = Window.partitionBy(*by, "_bucket").orderBy("ts_ms").rangeBetween(-span_ms, 0)
-    return both.withColumn(out, F.coalesce(F.sum("_value").over(w), F.lit(0))).where("_ahead = 0").drop("_value", "_ahead", "_bucket")
+    both = rows.withColumn("_value", value).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_bucket": own + F.col("_ahead"), "_at": F.col("ts_ms") + F.col("_ahead") * span_ms})
+    whole = Window.partitionBy(*by, "_bucket")
+    until = whole.orderBy("_at", "_ahead").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.coalesce(F.sum(F.when(F.col("_ahead") == 1, F.col("_value"))).over(whole), F.lit(0))
+    since = F.coalesce(F.sum(F.when(F.col("_ahead") == 1, -F.col("_value")).otherwise(F.col("_value"))).over(until), F.lit(0))
+    return both.withColumn(out, F.when(F.col("ts_ms").isNotNull(), before + since).otherwise(0)).where("_ahead = 0").drop("_value", "_ahead", "_bucket", "_at")
 
 
 def request_gate(requests: DataFrame, turns: DataFrame, span_ms: int = 60_000, pause_ms: int = 40_000, ceilings: Column | None = None) -> DataFrame:
