@@ -78,19 +78,20 @@ def own_shares(turns: DataFrame) -> DataFrame:
 
 
 def inclusive(turns: DataFrame, inside: DataFrame, own: DataFrame) -> DataFrame:
-    """``turns`` (collapsed) with what their folded sessions spent added to them, and ``folds``, the ids of these in order.
+    """``turns`` (collapsed) with what their folded sessions spent added to them, ``folds``, the ids of these in order, and ``n_folds``, how many they are.
 
+    Who needs no ids selects ``n_folds`` alone: then no row holds all sessions below a root.
     ``inside``: (root, child, seq) of ``folded``; ``own``: ``own_shares``. What a folded
     session spent includes nothing of those it folded itself: they stand in ``inside`` too.
     """
     shares = own.select(F.col("session_id").alias("child"), *[F.col(c).alias(f"_{c}") for c in SHARES])
-    added = inside.join(shares, "child", "left").groupBy(F.col("root").alias("session_id"), "seq").agg(
-        F.array_sort(F.collect_set("child")).alias("folds"), *[F.sum(f"_{c}").alias(f"_{c}") for c in SHARES])
+    added = inside.join(shares.hint("merge"), "child", "left").groupBy(F.col("root").alias("session_id"), "seq").agg(
+        F.array_sort(F.collect_set("child")).alias("folds"), F.count("child").alias("n_folds"), *[F.sum(f"_{c}").alias(f"_{c}") for c in SHARES])
     plus: dict[str, Column] = {c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast("bigint") for c in SHARES}
-    out = turns.join(added, ["session_id", "seq"], "left").withColumns({**plus, "folds": F.coalesce("folds", F.array().cast("array<string>"))})
-    return out.select(*turns.columns, "folds")
+    out = turns.join(added.hint("merge"), ["session_id", "seq"], "left").withColumns({**plus, "folds": F.coalesce("folds", F.array().cast("array<string>")), "n_folds": F.coalesce("n_folds", F.lit(0)).cast("bigint")})
+    return out.select(*turns.columns, "folds", "n_folds")
 
 
 def held_shares(inside: DataFrame, own: DataFrame) -> DataFrame:
     """(holder, child, ticks): what each session's total holds of every session it folded."""
-    return inside.join(own.select(F.col("session_id").alias("child"), F.col("cost_ticks").alias("ticks")), "child").select(F.col("root").alias("holder"), "child", "ticks")
+    return inside.join(own.select(F.col("session_id").alias("child"), F.col("cost_ticks").alias("ticks")).hint("merge"), "child").select(F.col("root").alias("holder"), "child", "ticks")

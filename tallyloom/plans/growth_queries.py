@@ -82,9 +82,9 @@ def inclusive_turns(spark, sf_dir):
     every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 1, 2, 5)])).alias("seq"))
     mine = lambda c: F.when(F.col("seq") == 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
     zero = {c: F.lit(0).cast("long") for c in folds.SHARES}
-    turns = every.join(spent, "session_id", "left").withColumns({**zero, "cost_ticks": mine("t"), "in_tok": mine("n")}).drop("t", "n")
+    turns = every.join(spent.hint("merge"), "session_id", "left").withColumns({**zero, "cost_ticks": mine("t"), "in_tok": mine("n")}).drop("t", "n")
     out = folds.inclusive(turns, folds.folded(_claims(spark, sf_dir)), folds.own_shares(turns))
-    return out.select("session_id", "seq", "cost_ticks", "in_tok", F.size("folds").cast("long").alias("n_folds"))
+    return out.select("session_id", "seq", "cost_ticks", "in_tok", "n_folds")
 
 
 @query(None)
